@@ -163,4 +163,6 @@ def p5_periods(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).groupBy("in_table", "field_name", month, "reason").agg(F.count(F.lit(1)).alias("n_references"), F.count_distinct("key").alias("n_keys"))
 
 
+from .problems_sql import SQL  # noqa: E402
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_deliveries, p2_found, p2_paths, p2_descendants, p3_found, p3_members, p3_refsets, p4_found, p4_rows, p4_fields, p4_notes, p5_found, p5_periods)}
