@@ -67,23 +67,22 @@ def is_concept_id(column):
 
 
 def build_closure(isa: DataFrame) -> DataFrame:
-    """(ancestor, descendant, depth): proper pairs with the least depth, by semi-naive doubling.
+    """(ancestor, descendant, depth): proper pairs with the least depth, by doubling.
 
-    Each round joins the pairs found in the last one with all pairs so far, so that the number of rounds is the
-    logarithm of the depth. Pairs (x, x) of cycles are kept out.
+    With all pairs up to depth d at hand, a pair between d and 2d splits after exactly d links, so each round
+    joins the pairs of depth d with all others and finds every longer pair once per
+    shortest way. The number of rounds is the logarithm of the depth. Pairs (x, x) of cycles are kept out.
     """
-    pairs = cut(isa.filter(F.col("child") != F.col("parent")).groupBy(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).agg(F.lit(1).alias("depth")))
-    count = pairs.count()
+    pairs = cut(isa.filter(F.col("child") != F.col("parent")).select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("depth")).distinct())
+    step = 1
     while True:
-        upper = pairs.select("ancestor", F.col("descendant").alias("middle"), F.col("depth").alias("d1"))
-        lower = pairs.select(F.col("ancestor").alias("middle"), "descendant", F.col("depth").alias("d2"))
-        longer = upper.join(lower, "middle").filter(F.col("ancestor") != F.col("descendant")).select("ancestor", "descendant", (F.col("d1") + F.col("d2")).alias("depth"))
-        grown = cut(pairs.unionByName(longer).groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")), instead_of=pairs)
-        total = grown.count()
-        pairs = grown
-        if total == count:
+        upper = pairs.filter(F.col("depth") == step).select("ancestor", F.col("descendant").alias("middle"))
+        lower = pairs.select(F.col("ancestor").alias("middle"), "descendant", (F.col("depth") + step).alias("depth"))
+        longer = cut(upper.join(lower, "middle").filter(F.col("ancestor") != F.col("descendant")).groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")))
+        if not longer.limit(1).count():
             return pairs
-        count = total
+        pairs = cut(pairs.unionByName(longer).groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")), instead_of=pairs)
+        step *= 2
 
 
 class Catalog:

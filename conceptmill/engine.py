@@ -266,7 +266,7 @@ class Engine:
     def concept_test(self, df: DataFrame, column: str, op: str, node: t.Node) -> DataFrame:
         """Rows whose concept-valued metadata is in the set, or is a concept of the edition that is not."""
         if op == "=":
-            return self.keep(df, column, node) if literals(node) is None else self.keep(df, column, t.And((node, node)))
+            return df.join(self.set_of(node).select(F.col("concept_id").alias(column)), column, "left_semi")
         known = df.join(self.c.concept.select(F.col("concept_id").alias(column)), column, "left_semi")
         return self.keep(known, column, node, anti=True)
 
@@ -410,9 +410,7 @@ class Engine:
         if f.kind == "number":
             return rows.filter(F.coalesce(column, F.lit("")) != "").filter(compare(decimals.key_column(decimals.canonical_column(column)), f.op, F.lit(decimals.key(f.value))))
         if f.kind == "concept":
-            tested = rows.withColumn("_id", column.cast("string").try_cast("bigint"))
-            if isinstance(f.value, t.Any):
-                return self.keep(tested, "_id", f.value, anti=not positive).drop("_id")
+            tested = rows.withColumn("_id", column.try_cast("bigint"))
             return self.keep(tested, "_id", f.value, anti=not positive).drop("_id")
         if kind == "time":
             return rows.filter(date_test(F.when(column != "", column).cast("int"), f.op, f.value))

@@ -18,24 +18,20 @@ def canonical(text: str) -> str:
 def key(text: str) -> str:
     """Text whose order is the order of the numbers: sign, number of digits, digits; complements for negative ones."""
     c = canonical(text)
-    whole, _, part = c.lstrip("-").partition(".")
-    digits = f"{len(whole):06d}{whole}.{part}"
+    size = c.lstrip("-")
+    digits = f"{len(size.partition('.')[0]):06d}{size}"
     if not c.startswith("-"):
         return "1" + digits
     return "0" + digits.translate(str.maketrans("0123456789", "9876543210")) + "~"
 
 
 def canonical_column(text: Column) -> Column:
-    bare = F.regexp_replace(text, "^[+-]", "")
-    whole = F.regexp_replace(F.substring_index(bare, ".", 1), "^0+(?=[0-9])", "")
-    part = F.when(bare.contains("."), F.regexp_replace(F.substring_index(bare, ".", -1), "0+$", "")).otherwise("")
-    shown = F.when(part != "", F.concat(whole, F.lit("."), part)).otherwise(whole)
-    return F.when(text.startswith("-") & ~((whole == "0") & (part == "")), F.concat(F.lit("-"), shown)).otherwise(shown)
+    for pattern, instead in (("^\\+", ""), ("^(-?)0+(?=[0-9])", "$1"), ("(\\.[0-9]*?)0+$", "$1"), ("\\.$", ""), ("^-0$", "0")):
+        text = F.regexp_replace(text, pattern, instead)
+    return text
 
 
 def key_column(canonical_text: Column) -> Column:
-    bare = F.regexp_replace(canonical_text, "^-", "")
-    whole = F.substring_index(bare, ".", 1)
-    part = F.when(bare.contains("."), F.substring_index(bare, ".", -1)).otherwise("")
-    digits = F.concat(F.lpad(F.length(whole).cast("string"), 6, "0"), whole, F.lit("."), part)
+    size = F.regexp_replace(canonical_text, "^-", "")
+    digits = F.concat(F.lpad(F.length(F.substring_index(size, ".", 1)).cast("string"), 6, "0"), size)
     return F.when(canonical_text.startswith("-"), F.concat(F.lit("0"), F.translate(digits, "0123456789", "9876543210"), F.lit("~"))).otherwise(F.concat(F.lit("1"), digits))

@@ -44,33 +44,24 @@ def pattern(word: str, language: str = "") -> str:
     return "".join(_letter(c, language) for c in unicodedata.normalize("NFC", word).lower())
 
 
-def _by_language(language: Column | None, build) -> Column:
-    """One expression for languages without letters of their own, one branch for each other."""
-    plain = build("")
+def _by_language(term: Column, language: Column | None, build) -> Column:
+    """One test for languages without letters of their own, one branch for each group of others that needs another."""
+    low, plain = F.lower(term), build("")
     if language is None:
-        return plain
-    out = None
+        return low.rlike(plain)
+    branches: dict[str, list[str]] = {}
     for name in OWN_LETTERS:
-        out = (F.when if out is None else out.when)(language == name, build(name))
-    return out.otherwise(plain)
+        if build(name) != plain:
+            branches.setdefault(build(name), []).append(name)
+    out = None
+    for expression, names in branches.items():
+        out = (F.when if out is None else out.when)(language.isin(names), low.rlike(expression))
+    return low.rlike(plain) if out is None else out.otherwise(low.rlike(plain))
 
 
 def matches_words(term: Column, text: str, language: Column | None = None) -> Column:
     """Every word of ``text`` begins a word of the term, in any order."""
-    low = F.lower(term)
-
-    def build(name: str) -> Column:
-        out = F.lit(True)
-        for w in text.split():
-            out = out & low.rlike("(?<![\\p{L}\\p{N}])" + pattern(w, name))
-        return out
-
-    return _by_language(language, build)
-
-
-def wild_parts(text: str) -> list[str]:
-    """The text between stars, escapes undone."""
-    return [re.sub(r"\\(.)", r"\1", p) for p in re.split(r"(?<!\\)(?:(?:\\\\)*)\*", text)] if "\\" not in text else _split_escaped(text)
+    return _by_language(term, language, lambda name: "(?s)^" + "".join("(?=.*(?<![\\p{L}\\p{N}])" + pattern(w, name) + ")" for w in text.split()))
 
 
 def _split_escaped(text: str) -> list[str]:
@@ -92,4 +83,4 @@ def _split_escaped(text: str) -> list[str]:
 def matches_wild(term: Column, text: str, language: Column | None = None) -> Column:
     """Parts between stars one after the other; the first and last are bound to the ends unless a star stands there."""
     parts = _split_escaped(text)
-    return _by_language(language, lambda name: F.lower(term).rlike("(?s)^" + ".*".join(pattern(p, name) for p in parts) + "$"))
+    return _by_language(term, language, lambda name: "(?s)^" + ".*".join(pattern(p, name) for p in parts) + "$")
