@@ -143,8 +143,12 @@ def displays(description: DataFrame, refsets: tuple[int, ...] = (GB_ENGLISH, US_
     One aggregation; only active English terms count.
     """
     rank = F.lit(None).cast("int")
+
+    def preferred(refset: int):
+        return F.exists("dialects", lambda d: (d["refset"] == refset) & (d["acceptability"] == PREFERRED))
+
     for i, r in reversed(list(enumerate(refsets))):
-        rank = F.when((F.col("type_id") == SYNONYM) & F.exists("dialects", lambda d, r=r: (d["refset"] == r) & (d["acceptability"] == PREFERRED)), i).otherwise(rank)
+        rank = F.when((F.col("type_id") == SYNONYM) & preferred(r), i).otherwise(rank)
     rank = F.coalesce(rank, F.when(F.col("type_id") == FSN, len(refsets)).when(F.col("type_id") == SYNONYM, len(refsets) + 1))
     ranked = description.filter("active AND language = 'en'").withColumn("rank", rank).filter(F.col("rank").isNotNull())
     return ranked.groupBy("concept_id").agg(F.min(F.struct("rank", "description_id", "term")).alias("d")).select("concept_id", F.col("d.term").alias("term"))

@@ -582,9 +582,13 @@ def search_score(label: Column, text: str) -> Column:
     asked = re.findall("[0-9a-z]+", low)
     found = F.regexp_extract_all(label, F.lit("([0-9a-z]+)"), 1)
     score = F.when(label == low, 1000).otherwise(0) + F.when(label.startswith(low), 200).otherwise(0)
+
+    def begun(w: str) -> Column:
+        return F.exists(found, lambda x: x.startswith(w))
+
     for i, w in enumerate(asked):
         whole = F.array_contains(found, w)
-        score = score + F.when(whole, 60).when(F.exists(found, lambda x, w=w: x.startswith(w)), 25).otherwise(0) + F.when(F.get(found, F.lit(i)) == w, 20).otherwise(0)
+        score = score + F.when(whole, 60).when(begun(w), 25).otherwise(0) + F.when(F.get(found, F.lit(i)) == w, 20).otherwise(0)
     return score - 3 * F.greatest(F.size(found) - len(asked), F.lit(0))
 
 
