@@ -25,7 +25,7 @@ MEMBERS = f"""
 members AS (SELECT * FROM refset_member QUALIFY row_number() OVER (PARTITION BY id ORDER BY delivery_id DESC, coalesce(effective_time, 0) DESC, active DESC) = 1),
 live AS (SELECT m.* FROM members m WHERE active = 1),
 known AS (SELECT l.* FROM live l SEMI JOIN concepts c ON c.id = l.referenced_component_id)"""
-TREE = f"WITH RECURSIVE {LINKS}, down AS (SELECT CAST(10001785000 AS BIGINT) AS c UNION SELECT l.child FROM down d JOIN links l ON l.parent = d.c) SELECT c AS concept_id FROM down"
+TREE = f"WITH RECURSIVE {LINKS}, {CONCEPT_STATES}, down AS (SELECT id AS c FROM concepts WHERE id = 10001785000 UNION SELECT l.child FROM down d JOIN links l ON l.parent = d.c) SELECT c AS concept_id FROM down"
 
 EXPRESSIONS = {
     "rel_descendants": ("<< 10001785000", TREE),

@@ -31,6 +31,7 @@ COLUMNS = {
 REQUIRED = ["sct2_Concept_", "sct2_Relationship_", "sct2_Description_"]
 IDENTIFIER_ORDERS = ["alternateIdentifier effectiveTime active moduleId identifierSchemeId referencedComponentId", "identifierSchemeId alternateIdentifier effectiveTime active moduleId referencedComponentId"]
 DATATYPES = [("number", 1119403002), ("time", 900000000000475002), ("uuid", 900000000000474003), ("uuid", 900000000000464001), ("integer", 900000000000476001), ("text", 1119460002), ("id", 900000000000460005)]
+CONCEPT_TYPE, DESCRIPTION_TYPE, RELATIONSHIP_TYPE = 900000000000461009, 900000000000462002, 900000000000463007
 LETTERS = {"c": "id", "i": "integer", "s": "text"}
 MODULE_ROOT = 900000000000443000
 
@@ -123,7 +124,7 @@ def _long(name: str) -> Column:
 def _date(name: str) -> Column:
     """YYYYMMDD as a number; empty is NULL, an impossible date fails."""
     text = F.col(name)
-    return F.when(text == "", F.lit(None)).when(F.try_to_date(text, F.lit("yyyyMMdd")).isNotNull(), text.cast("int")).otherwise(F.raise_error(F.concat(F.lit("no such date: "), text))).cast("int")
+    return F.when(text == "", F.lit(None)).when(F.try_to_date(text, "yyyyMMdd").isNotNull(), text.cast("int")).otherwise(F.raise_error(F.concat(F.lit("no such date: "), text))).cast("int")
 
 
 def _active() -> Column:
@@ -255,7 +256,10 @@ def import_snapshot(spark: SparkSession, path: str, work: str, config: Config |
     descriptors = typed.filter(F.col("file").contains("RefsetDescriptor") & F.col("active")).select(F.col("referenced").alias("refset"), value("attributeType").cast("bigint").alias("type"), value("attributeOrder").cast("int").alias("pos"))
     kinds = cut(member_kinds(spark, tables.select("refset", "file"), cut(descriptors), closure, files))
     member = typed.select("refset", "row_no", "effective_time", "active", "module_id", "referenced", "fields")
-    declared = descriptors.filter("pos = 0").join(closure.filter(F.col("ancestor") == 900000000000461009).select(F.col("descendant").alias("type")).unionByName(spark.createDataFrame([(900000000000461009,)], "type bigint")).withColumn("c", F.lit(True)), "type", "left").groupBy("refset").agg(F.max(F.coalesce("c", F.lit(False))).alias("declared"))
+    # what position 0 of the descriptor declares: concepts, other components, or nothing certain
+    bases = spark.createDataFrame([(CONCEPT_TYPE, True), (DESCRIPTION_TYPE, False), (RELATIONSHIP_TYPE, False)], "base bigint, of_concepts boolean")
+    below = closure.select(F.col("ancestor").alias("base"), F.col("descendant").alias("type")).unionByName(bases.select("base", F.col("base").alias("type")))
+    declared = descriptors.filter("pos = 0").join(below.join(bases, "base"), "type").groupBy("refset").agg(F.min("of_concepts").alias("declared"))
 
     progress("descriptions")
     parts = [a.core(p, n) for p in ("sct2_Description_", "sct2_TextDefinition_") for n in seen.files[p]]
