@@ -200,6 +200,8 @@ class Engine:
             return domain
         if isinstance(node, t.AnyOf):
             return reduce(DataFrame.unionByName, [self.satisfied(p, domain, keys) for p in node.parts]).distinct()
+        if isinstance(node, t.Group) and needs_rows(node.of):
+            return self.counted(domain, self.groups_of(node.of).select("source"), ["source"], node.least, node.most)
         if isinstance(node, t.Group):
             pairs = self.c.relationship.select("source", "grp").unionByName(self.c.concrete.select("source", "grp")).filter("grp <> 0").join(domain.select("source"), "source", "left_semi").distinct()
             inner = self.satisfied(node.of, pairs, ["source", "grp"])
@@ -210,6 +212,26 @@ class Engine:
             return self.counted(domain, self.reversed_rows(node), keys, node.least, node.most)
         return self.counted(domain, self.attribute_rows(node, keys), keys, node.least, node.most)
 
+    def groups_of(self, node: t.Node) -> DataFrame:
+        """Distinct (source, grp) that satisfy a refinement which no group without rows can: found from the rows, without the list of all groups."""
+        keys = ["source", "grp"]
+        if isinstance(node, t.AnyOf):
+            return reduce(DataFrame.unionByName, [self.groups_of(p) for p in node.parts]).distinct()
+        if isinstance(node, t.AllOf):
+            at = next(i for i, p in enumerate(node.parts) if needs_rows(p))
+            found = self.groups_of(node.parts[at])
+            for i, p in enumerate(node.parts):
+                found = found if i == at else self.satisfied(p, found, keys)
+            return found
+        if node.reverse:
+            raise t.SemanticError("a reverse flag here")
+        rows = self.attribute_rows(node, keys).filter("grp <> 0")
+        if node.least == 1 and node.most is None:
+            return rows.distinct()
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        least, most = min(node.least, MAX_LONG), MAX_LONG if node.most is None else min(node.most, MAX_LONG)
+        return counts.filter(F.col("_n").between(least, most)).select(*keys)
+
     def counted(self, domain: DataFrame, rows: DataFrame, keys: list[str], least: int, most: int | None) -> DataFrame:
         """Domain rows whose number of ``rows`` is within the bounds; rows are counted only where the bounds need it."""
         least, most = min(least, MAX_LONG), None if most is None else min(most, MAX_LONG)
@@ -548,6 +570,15 @@ class Engine:
         }
 
 
+def needs_rows(node: t.Node) -> bool:
+    """Whether only groups with rows of their own can satisfy the refinement."""
+    if isinstance(node, t.AllOf):
+        return any(map(needs_rows, node.parts))
+    if isinstance(node, t.AnyOf):
+        return all(map(needs_rows, node.parts))
+    return isinstance(node, t.Attribute) and node.least >= 1
+
+
 def compare(a: Column, op: str, b: Column) -> Column:
     return {"=": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
 
