@@ -26,12 +26,15 @@ READ_AS = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251
 #: Wrong readings in a row that are undone.
 MAX_STEPS = 4
 #: Log-probabilities of a step, against no step: UTF-8 proves itself by its form, other encodings do not.
-STEP_UTF8, STEP_OTHER = -1.0, -6.0
+STEP_UTF8, STEP_OTHER, STEP_OTHER_FIRST = -1.0, -6.0, -12.0
+#: Gain beyond which a record is left out of the second training.
+DOUBTFUL = 2.0
 #: Sentence punctuation around a word form, no evidence for a single-byte encoding.
 PUNCTUATION = ".,!?;:…\"'()[]–—“”„«»‹›-/*"
 LOST = "�"
 CONTROL = re.compile("[\x80-\x9f]")
 TOKEN = re.compile("[^ \t\n\r]+")
+MARKUP = re.compile("<[^<>]*>")
 RUN = re.compile("[^\x00-\x7f]+")
 
 
@@ -50,6 +53,14 @@ def _tables(name: str) -> tuple[dict[str, int], str]:
     return back, "".join(chars)
 
 
+def core(form: str) -> str:
+    """What of a form is scored: lower case, without sentence punctuation around it, markup and no-break spaces as spaces; punctuation alone stays."""
+    word = form.strip(PUNCTUATION) or form
+    if "<" in word:
+        word = MARKUP.sub(" ", word)
+    return word.replace("\xa0", " ").lower()
+
+
 def to_bytes(text: str, name: str) -> bytes | None:
     back = _tables(name)[0]
     try:
@@ -69,16 +80,28 @@ def misread(text: str, written: str, read: str) -> str:
     return "".join(table[b] for b in data)
 
 
+_SEQUENCE = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+
+
 def _undo_utf8(text: str) -> dict[str, str]:
-    """Texts that read as UTF-8, each with the encoding it was read in."""
+    """Texts with every UTF-8 sequence decoded, each with the encoding it was read in.
+
+    Characters that are no part of a sequence stay, so a word may be garbled in places.
+    """
     out: dict[str, str] = {}
     for name in READ_AS:
-        data = to_bytes(text, name)
-        if data:
+        back = _tables(name)[0]
+        raw = "".join(chr(back.get(c, 0)) if ord(c) > 127 else "\0" for c in text)
+        y, at = [], 0
+        for m in _SEQUENCE.finditer(raw):
             try:
-                out.setdefault(data.decode("utf-8"), name)
+                char = m.group().encode("latin-1").decode("utf-8")
             except UnicodeDecodeError:
-                pass
+                continue
+            y += [text[at : m.start()], char]
+            at = m.end()
+        if at:
+            out.setdefault("".join([*y, text[at:]]), name)
     out.pop(text, None)
     return out
 
@@ -116,7 +139,7 @@ def _undo_other_all(text: str) -> list[tuple[str, str]]:
 def candidates(form: str) -> dict[str, tuple[float, str]]:
     """Every text that a chain of encode-decode steps, the first one UTF-8, makes of ``form``, with the chain's log-probability and name.
 
-    Single-byte encodings read as each other leave no form to know them by; :meth:`Restorer.stretch` has those. Steps apply to the whole form or, where its characters have no common encoding, to each run of other than ASCII characters.
+    Single-byte encodings read as each other leave no form to know them by; :meth:`Restorer.stretch` has those.
     """
     found: dict[str, tuple[float, str]] = {}
     frontier = {form: (0.0, "")}
@@ -125,11 +148,7 @@ def candidates(form: str) -> dict[str, tuple[float, str]]:
         for text, (cost, chain) in frontier.items():
             if text.isascii():
                 continue
-            nexts = _undo_utf8(text)
-            if not nexts:
-                for run in set(RUN.findall(text)):
-                    nexts |= {text.replace(run, y): name for y, name in _undo_utf8(run).items()}
-            for y, name in nexts.items():
+            for y, name in _undo_utf8(text).items():
                 if y not in found and y != form:
                     onward.setdefault(y, (cost + STEP_UTF8, f"{chain} utf-8>{name}"))
         found |= onward
@@ -140,7 +159,7 @@ def candidates(form: str) -> dict[str, tuple[float, str]]:
         if not text.isascii():
             for y, name in _undo_other(text).items():
                 if y not in found and y != form:
-                    found[y] = (cost + STEP_OTHER, f"{chain} {name}")
+                    found[y] = (cost + STEP_OTHER_FIRST, f"{chain} {name}")
     return found
 
 
@@ -159,7 +178,15 @@ def is_clean(text: str) -> bool:
 
 @lru_cache(maxsize=100_000)
 def _run_reads(run: str) -> bool:
-    return any(ORDINARY.fullmatch(y) for y in _undo_utf8(run))
+    for name in READ_AS:
+        data = to_bytes(run, name)
+        if data:
+            try:
+                if ORDINARY.fullmatch(data.decode("utf-8")):
+                    return True
+            except UnicodeDecodeError:
+                pass
+    return False
 
 
 def _buckets(gram: str) -> tuple[int, int]:
@@ -169,7 +196,10 @@ def _buckets(gram: str) -> tuple[int, int]:
 
 @dataclass
 class Model:
-    """Interpolated trigram model over a count-min sketch (two rows) of 1-, 2- and 3-grams, case apart; word forms are bounded by a space on either side."""
+    """Interpolated trigram model over a count-min sketch (two rows) of 1-, 2- and 3-grams, case apart; word forms are bounded by a space on either side.
+
+    Counts are of records that have a form, less one: what only the judged record itself may have seen counts as unseen.
+    """
 
     counts: np.ndarray
     total: float
@@ -177,10 +207,10 @@ class Model:
 
     def _n(self, gram: str) -> float:
         a, b = _buckets(gram)
-        return float(min(self.counts[a], self.counts[b]))
+        return max(0.0, float(min(self.counts[a], self.counts[b])) - 1.0)
 
     def log_probability(self, form: str) -> float:
-        s, out = f" {form.lower()} ", 0.0
+        s, out = f" {core(form)} ", 0.0
         for i in range(1, len(s)):
             c, b, a = s[i], s[i - 1 : i], s[max(0, i - 2) : i]
             p = (self._n(c) + 0.01) / (self.total + 1e4)
@@ -192,7 +222,7 @@ class Model:
 
     def known(self, form: str) -> bool:
         """Whether clean records have all of the form's characters."""
-        return all(c.isascii() or self._n(c) > 0 for c in form.lower())
+        return all(c.isascii() or self._n(c) > 0 for c in core(form))
 
     def best(self, form: str) -> tuple[str, float, str]:
         """The likeliest candidate, its gain over the form as it is, and its chain."""
@@ -213,11 +243,11 @@ def gram_counts(records: Iterator[pd.DataFrame], earlier: Model | None = None) -
         forms: Counter[str] = Counter()
         for text in pdf.text:
             if text and is_clean(text) and not (restorer and restorer.text(text)[1]):
-                forms.update(TOKEN.findall(text))
+                forms.update({core(f) for f in TOKEN.findall(text)})
         grams: Counter[str] = Counter()
         for form, n in forms.items():
             for j in range(0, len(form), 4096):  # very long forms by overlapping pieces
-                piece = form[max(0, j - 2) : j + 4096].lower()
+                piece = form[max(0, j - 2) : j + 4096]
                 s = f" {piece} "
                 total += n * (len(s) - 1)
                 for k in (1, 2, 3):
@@ -258,7 +288,9 @@ def validated_margin(model: Model, records: list[str]) -> float:
         return math.log(1000)
     grid = np.arange(2.0, SURELY_GARBLED, 0.5)
     errors = [10 * np.mean(np.array(clean) > m) + np.mean(np.array(bad) <= m) for m in grid]
-    return float(grid[int(np.argmin(errors))])
+    # the middle of the margins that err least
+    least = grid[np.isclose(errors, min(errors))]
+    return float((least[0] + least[-1]) / 2)
 
 
 def train(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Model:
@@ -279,7 +311,7 @@ def train(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
         counts = np.zeros(2 * BUCKETS, dtype=np.float32)
         real = sums[sums.bucket >= 0]
         counts[real.bucket.to_numpy()] = real.n.to_numpy()
-        return Model(counts, float(sums[sums.bucket < 0].n.sum()), math.log(1000))
+        return Model(counts, float(sums[sums.bucket < 0].n.sum()), DOUBTFUL)
 
     model = counted(counted(None))
 
@@ -308,36 +340,40 @@ class Restorer:
 
     def _other(self, form: str) -> dict[str, tuple[str, float]]:
         """What each single-byte misreading would have made this form of, with the gain without the step's cost."""
-        core = form.strip(PUNCTUATION)
-        if core.isascii():
+        word = form.strip(PUNCTUATION)
+        if word.isascii():
             return {}
-        heard = sum(c.isalpha() for c in core) >= 2
-        own = self.model.log_probability(core)
-        at = form.index(core)
+        own = self.model.log_probability(word)
+        at = form.index(word)
         out = {}
-        for y, name in _undo_other_all(core):
-            if y == core:
+        for y, name in _undo_other_all(word):
+            if y == word:
                 out[name] = (form, 0.0)
             elif self.model.known(y):
                 gain = self.model.log_probability(y) - own
-                out[name] = (form[:at] + y + form[at + len(core) :], gain if heard else min(gain, 0.0))
+                # too little to tell: a letter or none, or letters that would become signs
+                had, has = (sum(c.isalpha() for c in core(x)) for x in (word, y))
+                heard = (had >= 2 or has >= 4) and 2 * has >= had
+                out[name] = (form[:at] + y + form[at + len(word) :], gain if heard else min(gain, 0.0))
         return out
 
     def stretch(self, forms: list[str]) -> tuple[float, str, int, int]:
-        """The best run of forms misread by one single-byte chain: its gain, the chain, begin and end."""
+        """The best run of forms misread by one single-byte chain: its gain, the chain, begin and end. A form that comes again is no further evidence."""
         gains = [self.other(f) for f in forms]
         best = (-math.inf, "", 0, 0)
         for name in {n for g in gains for n, (_, gain) in g.items() if gain > 0}:
-            total, begin = 0.0, 0
+            total, begin, heard = 0.0, 0, set()
             for i, g in enumerate(gains):
                 if name not in g:
                     if forms[i].strip(PUNCTUATION).isascii():
                         continue
-                    total, begin = 0.0, i + 1
+                    total, begin, heard = 0.0, i + 1, set()
                     continue
                 if total <= 0:
-                    total, begin = 0.0, i
-                total += g[name][1]
+                    total, begin, heard = 0.0, i, set()
+                if g[name][1] < 0 or forms[i] not in heard:
+                    total += g[name][1]
+                    heard.add(forms[i])
                 if total + STEP_OTHER > best[0]:
                     best = (total + STEP_OTHER, name, begin, i + 1)
         return best
