@@ -10,7 +10,7 @@ from pathlib import Path
 
 from . import batch as batches
 from .catalog import Config, load, save, verify
-from .ecl import EclError
+from .ecl import EclError, ParseError
 from .engine import Engine, diff
 from .session import local_session
 from .sources import snapshot
@@ -91,6 +91,8 @@ def main(argv: list[str] | None = None) -> int:
             }[a.command]()
             response = batches.answer(engine(a.index), request)
             show(response)
+            if a.command == "expand" and "offset" in response.get("error", {}):
+                print(ParseError(**response["error"]).caret(a.ecl), file=sys.stderr)
             return 1 if "error" in response else 0
     except (EclError, snapshot.ImportFailure, OSError) as e:
         print(f"{type(e).__name__}: {e}", file=sys.stderr)

@@ -16,6 +16,13 @@ class ParseError(EclError):
         super().__init__(f"{kind} error at byte {offset}: {message}")
         self.kind, self.offset, self.message = kind, offset, message
 
+    def caret(self, text: str, width: int = 60) -> str:
+        """The line of the error, as far as ``width`` characters around it, and a caret below its place."""
+        at = len(text.encode("utf-8", "surrogatepass")[: self.offset].decode("utf-8", "ignore"))
+        begin = max(text.rfind("\n", 0, at) + 1, at - width)
+        end = min(len(text) if (n := text.find("\n", at)) < 0 else n, at + width)
+        return text[begin:end].replace("\t", " ") + "\n" + " " * (at - begin) + "^"
+
 
 class TypeMismatch(EclError):
     """A value, field or filter of the wrong type."""

@@ -61,7 +61,7 @@ def _cycles(rest: DataFrame) -> DataFrame:
     ends = -1
     while True:
         above = state.select(F.col("node").alias("jump"), F.col("jump").alias("jump2"), F.col("least").alias("least2"))
-        state = cut(skew_join(state, above, "jump").select("node", F.col("jump2").alias("jump"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("moved")))
+        state = cut(skew_join(state, above, "jump").select("node", F.col("jump2").alias("jump"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("moved")), instead_of=state)
         seen = state.agg(F.count_distinct("jump").alias("ends"), F.coalesce(F.sum(F.col("moved").cast("int")), F.lit(0)).alias("moved")).first()
         state = state.drop("moved")
         if seen["ends"] == ends and not seen["moved"]:
@@ -108,10 +108,11 @@ def heavy_paths(links: DataFrame, child: str, parent: str, numbers: bool = True)
     # chain of each node: doubling along heavy links, of which every node has at most one below it
     state = cut(marked.select("node", "parent", "size", F.when(F.col("is_heavy"), F.col("parent")).alias("jump"), F.col("is_heavy").isNotNull().cast("long").alias("place"), F.when(F.col("is_heavy"), F.col("parent")).otherwise(F.col("node")).alias("chain")))
     while state.filter(F.col("jump").isNotNull()).limit(1).count():
+        last = state
         for _ in range(2):
             above = state.select(F.col("node").alias("jump"), F.col("jump").alias("jump2"), F.col("place").alias("place2"), F.col("chain").alias("chain2"))
             state = state.join(above, "jump", "left").select("node", "parent", "size", F.col("jump2").alias("jump"), (F.col("place") + F.coalesce("place2", F.lit(0))).alias("place"), F.coalesce("chain2", "chain").alias("chain"))
-        state = cut(state)
+        state = cut(state, instead_of=last)
     labelled = state.drop("jump")
 
     # one row per chain: where it hangs on another chain
@@ -129,7 +130,7 @@ def heavy_paths(links: DataFrame, child: str, parent: str, numbers: bool = True)
     chains = cut(chains)
     while chains.filter(F.col("jump").isNotNull()).limit(1).count():
         above = chains.select(F.col("chain").alias("jump"), F.col("jump").alias("jump2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), F.col("first").alias("first2"))
-        chains = cut(skew_join(chains, above, "jump").select("chain", "up", "up_place", F.coalesce("root2", "root").alias("root"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("first") + F.coalesce("first2", F.lit(0))).alias("first"), F.col("jump2").alias("jump")))
+        chains = cut(skew_join(chains, above, "jump").select("chain", "up", "up_place", F.coalesce("root2", "root").alias("root"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("first") + F.coalesce("first2", F.lit(0))).alias("first"), F.col("jump2").alias("jump")), instead_of=chains)
     chains = chains.drop("jump")
 
     of_chain = chains.select("chain", "root", F.col("depth").alias("d0"), F.col("first").alias("f0"))
@@ -156,7 +157,7 @@ def paths(forest: Forest) -> DataFrame:
     state = cut(lead)
     while state.filter(F.col("jump").isNotNull()).limit(1).count():
         above = state.select(F.col("chain").alias("jump"), F.col("jump").alias("jump2"), F.col("lead").alias("lead2"))
-        state = cut(skew_join(state, above, "jump").select("chain", F.col("jump2").alias("jump"), F.when(F.col("lead2").isNull(), F.col("lead")).otherwise(F.concat("lead2", "lead")).alias("lead")))
+        state = cut(skew_join(state, above, "jump").select("chain", F.col("jump2").alias("jump"), F.when(F.col("lead2").isNull(), F.col("lead")).otherwise(F.concat("lead2", "lead")).alias("lead")), instead_of=state)
     whole = segments.join(state.select("chain", "lead"), "chain", "left").select("chain", F.when(F.col("lead").isNull(), F.col("segment")).otherwise(F.concat("lead", "segment")).alias("whole"), F.coalesce(F.size("lead"), F.lit(0)).alias("n_lead"))
     whole = whole.withColumn("n_lead", F.greatest(F.col("n_lead"), F.lit(0)))
     joined = skew_join(forest.nodes.select("node", "chain", "place"), whole, "chain", how="inner")
@@ -175,5 +176,5 @@ def last_of_series(links: DataFrame, node: str, following: str) -> DataFrame:
     state = cut(links.select(F.col(node).alias("node"), F.col(following).alias("jump"), F.coalesce(following, node).alias("last")))
     while state.filter(F.col("jump").isNotNull()).limit(1).count():
         above = state.select(F.col("node").alias("jump"), F.col("jump").alias("jump2"), F.col("last").alias("last2"))
-        state = cut(state.join(above, "jump", "left").select("node", F.col("jump2").alias("jump"), F.coalesce("last2", "last").alias("last")))
+        state = cut(state.join(above, "jump", "left").select("node", F.col("jump2").alias("jump"), F.coalesce("last2", "last").alias("last")), instead_of=state)
     return state.select("node", "last")

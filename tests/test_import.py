@@ -64,6 +64,20 @@ def test_import(spark, tmp_path):
     assert snapshot.module_check(made).count() == 0
 
 
+def test_edition_and_assessment(spark, tmp_path):
+    from conceptmill.sources import editions
+
+    made = snapshot.import_snapshot(spark, archive(tmp_path / "f.zip"), str(tmp_path / "work"))
+    assert editions.edition_module(made) == MODULE and editions.edition_module(made, MODULE) == MODULE
+    with pytest.raises(snapshot.ImportFailure):
+        editions.edition_module(made, 5)
+    assert editions.broken_dependencies(made).count() == 0
+    mine = {"date": 20260826, "archive_sha256": "a"}
+    cases = {"up_to_date": [mine], "reissued": [{"date": 20260826, "archive_sha256": "b"}], "behind(2)": [mine, {"date": 20260901}, {"date": 20261001}], "unknown": [{"date": 20250101}]}
+    for want, published in cases.items():
+        assert editions.assess(mine, published) == want
+
+
 def concept_file(*rows):
     return "\r\n".join("\t".join(map(str, r)) for r in [snapshot.COLUMNS["sct2_Concept_"].split(), *rows]) + "\r\n"
 

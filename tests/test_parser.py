@@ -72,6 +72,12 @@ def test_offsets_count_bytes():
     assert e.value.offset == len("1000001 |é| : { ".encode())
 
 
+def test_caret_points_at_the_error():
+    with pytest.raises(ParseError) as e:
+        parse("1000001 |é| OR\n( 1000002 AND")
+    assert e.value.caret("1000001 |é| OR\n( 1000002 AND").split("\n")[1].index("^") >= 9
+
+
 def test_limits():
     for text in ("(" * 70 + "*" + ")" * 70, "* OR " * 5000 + "*", " " * 70_000 + "*"):
         with pytest.raises(ParseError) as e:
