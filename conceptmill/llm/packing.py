@@ -17,7 +17,7 @@ from ..session import cut
 #: Tokens of a container.
 CAPACITY = 2048
 #: Containers that one block of items fills, about; items of a block are partitioned together in one task.
-BLOCK_CONTAINERS = 64
+BLOCK_CONTAINERS = 256
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
