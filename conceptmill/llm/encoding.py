@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 #: Buckets of each of the two rows of hashed n-gram counts, which bound the model (and what is broadcast) at any corpus size.
 BUCKETS = 1 << 20
-#: Clean held-out records that validate the margin, at most, and the characters of each that are used for it.
-VALIDATION_RECORDS, VALIDATION_CHARS = 4_000, 2_000
 #: One record in so many is held out for the margin.
 HELD_OUT = 10
 #: Encodings in which bytes may have been read; a byte without a character there reads as the control character of its number.
@@ -267,30 +265,40 @@ VALIDATION_CHAINS = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_r
 SURELY_GARBLED = 15.0
 
 
-def validated_margin(model: Model, records: list[str]) -> float:
-    """The margin that separates held-out clean records from the same records misread in a stretch, least errors of both kinds (clean ones count ten times).
+#: Margins that are tried.
+MARGINS = np.arange(2.0, SURELY_GARBLED, 0.5)
 
-    Without held-out records the margin is that of a thousand to one.
+
+def margin_errors(records: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
+    """Per margin, how many of one partition's held-out clean records exceed it and how many misread ones do not.
+
+    Each record is also misread, whole or in its middle third, by one of the VALIDATION_CHAINS; a hash of the text says which.
     """
     restorer = Restorer(model)
     clean, bad = [], []
-    for i, text in enumerate(records):
-        gain = restorer.gain(text)
-        if gain > SURELY_GARBLED:
-            continue
-        clean.append(gain)
-        whole = i % 2 == 0
-        stretch = text if whole else text[len(text) // 3 : 2 * len(text) // 3]
-        garbled = misread(stretch, *VALIDATION_CHAINS[i % len(VALIDATION_CHAINS)])
-        if garbled != stretch and LOST not in garbled:
-            bad.append(restorer.gain(text.replace(stretch, garbled, 1)))
-    if not bad:
+    for pdf in records:
+        for text in pdf.text:
+            if not is_clean(text) or (gain := restorer.gain(text)) > SURELY_GARBLED:
+                continue
+            clean.append(gain)
+            h = xxhash.xxh64_intdigest(text)
+            stretch = text if h % 2 else text[len(text) // 3 : 2 * len(text) // 3]
+            garbled = misread(stretch, *VALIDATION_CHAINS[h // 2 % len(VALIDATION_CHAINS)])
+            if garbled != stretch and LOST not in garbled:
+                bad.append(restorer.gain(text.replace(stretch, garbled, 1)))
+    over = [int(np.sum(np.array(clean) > m)) for m in MARGINS]
+    under = [int(np.sum(np.array(bad) <= m)) for m in MARGINS]
+    yield pd.DataFrame({"margin": MARGINS, "clean_over": over, "bad_under": under, "n_clean": len(clean), "n_bad": len(bad)})
+
+
+def validated_margin(errors: pd.DataFrame) -> float:
+    """The middle of the margins with the least errors of both kinds, clean records counting ten times; without records that of a thousand to one."""
+    if not len(errors) or not errors.n_bad.max():
         return math.log(1000)
-    grid = np.arange(2.0, SURELY_GARBLED, 0.5)
-    errors = [10 * np.mean(np.array(clean) > m) + np.mean(np.array(bad) <= m) for m in grid]
-    # the middle of the margins that err least
-    least = grid[np.isclose(errors, min(errors))]
-    return float((least[0] + least[-1]) / 2)
+    errors = errors.sort_values("margin")
+    total = 10 * errors.clean_over / errors.n_clean + errors.bad_under / errors.n_bad
+    least = errors.margin[np.isclose(total, total.min())]
+    return float((least.min() + least.max()) / 2)
 
 
 def train(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Model:
@@ -299,7 +307,7 @@ def train(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
     A first model is trained on records that are clean by their form; the second, which is returned, leaves out
     those that the first finds garbled.
 
-    Counts are made per partition and added up by bucket; at most 2 BUCKETS + 1 numbers and VALIDATION_RECORDS held-out records reach the driver.
+    Counts are made per partition and added up by bucket; at most 2 BUCKETS + 1 numbers, and the error counts of each margin, reach the driver. No record is sampled or cut.
     """
     slim = documents.select(id_column, F.col(text_column).alias("text")).filter(F.col("text").isNotNull())
     held = F.pmod(F.xxhash64(id_column), F.lit(HELD_OUT)) == 0
@@ -315,14 +323,10 @@ def train(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     model = counted(counted(None))
 
-    def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"text": [t[:VALIDATION_CHARS] for t in pdf.text if is_clean(t)]})
-
-    # the least hashes: the same sample however the rows lie
+    trained = context.broadcast(model)
     foreign = slim.filter(held & F.col("text").rlike("[^\\x00-\\x7f]")).select("text")
-    sample = foreign.mapInPandas(sampled, "text string").distinct().orderBy(F.xxhash64("text"), "text").limit(VALIDATION_RECORDS)
-    model.margin = validated_margin(model, [r[0] for r in sample.collect()])
+    per_partition = foreign.mapInPandas(lambda records: margin_errors(records, trained.value), "margin double, clean_over long, bad_under long, n_clean long, n_bad long")
+    model.margin = validated_margin(per_partition.groupBy("margin").agg(*[F.sum(c).alias(c) for c in ("clean_over", "bad_under", "n_clean", "n_bad")]).toPandas())
     return model
 
 
