@@ -54,6 +54,13 @@ class Engine:
         """The concept set of an expression that yields concepts."""
         return self.set_of(parse(expression))
 
+    def evaluate_many(self, expressions: dict[str, str]) -> DataFrame:
+        """(name, concept_id) of many concept-valued expressions as one plan, so that a corpus costs few jobs and equal parts are shared."""
+        parts = [self.concepts(x).select(F.lit(name).alias("name"), "concept_id") for name, x in expressions.items()]
+        if not parts:
+            return self.spark.createDataFrame([], "name string, concept_id bigint")
+        return reduce(DataFrame.unionByName, parts)
+
     # -- kinds
 
     def kind(self, node: t.Node) -> str:

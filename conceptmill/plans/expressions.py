@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..sources.star import cid as C
@@ -197,5 +198,15 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return run("ecl_group")(spark, d)
 
 
-QUERIES = {name: run(name) for name in EXPRESSIONS}
+#: Expressions of the corpus that is counted as one plan.
+CORPUS = {name: x for name, (x, _) in CONCEPTS.items() if name.split("_")[1] in ("descendants", "strict", "ancestors", "children", "parents", "union", "intersection", "exclusion", "attribute", "any", "group", "reverse", "concrete", "member", "concept", "term")}
+
+
+def corpus_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The number of concepts of every expression of the corpus; one without concepts has no row."""
+    return Engine(star_catalog(spark, d)).evaluate_many(CORPUS).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {name: run(name) for name in EXPRESSIONS} | {"corpus_counts": corpus_counts}
 SQL = {name: sql for name, (_, sql) in EXPRESSIONS.items()}
+SQL["corpus_counts"] = " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n FROM ({CONCEPTS[name][1]}) HAVING count(*) > 0" for name in CORPUS)
