@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -104,6 +105,52 @@ def _undo_utf8(text: str) -> dict[str, str]:
     return out
 
 
+def _sequence_interiors(run: str) -> set[int]:
+    """Positions inside a UTF-8 sequence that some chain of readings has there, at any of its steps."""
+    inside: set[int] = set()
+    seen = {run}
+    frontier = {run: list(range(len(run) + 1))}  # where each character begins in the run
+    for _ in range(MAX_STEPS):
+        onward: dict[str, list[int]] = {}
+        for text, begins in frontier.items():
+            for name in READ_AS:
+                back = _tables(name)[0]
+                raw = "".join(chr(back.get(c, 0)) if ord(c) > 127 else "\0" for c in text)
+                y, at, kept = [], 0, []
+                for m in _SEQUENCE.finditer(raw):
+                    try:
+                        char = m.group().encode("latin-1").decode("utf-8")
+                    except UnicodeDecodeError:
+                        continue
+                    inside.update(range(begins[m.start()] + 1, begins[m.end()]))
+                    y += [text[at : m.start()], char]
+                    kept += begins[at : m.start() + 1]
+                    at = m.end()
+                decoded = "".join([*y, text[at:]])
+                if at and decoded not in seen:
+                    seen.add(decoded)
+                    onward[decoded] = kept + begins[at:]
+        frontier = onward
+    return inside
+
+
+def _pieces(form: str) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of other than ASCII characters with its surroundings; runs of over 300 are cut, but never inside a UTF-8 sequence."""
+    at = 0
+    for m in RUN.finditer(form):
+        begin, end = max(at, m.start() - 8), m.start()
+        if m.end() - m.start() > 300:
+            inside = _sequence_interiors(m.group())
+            for cut in range(1, m.end() - m.start()):
+                if m.start() + cut - end >= 300 and cut not in inside:
+                    yield begin, m.start() + cut
+                    begin = end = m.start() + cut
+        at = m.end()
+        while at < min(len(form), m.end() + 8) and form[at].isascii():
+            at += 1
+        yield begin, at
+
+
 def _undo_other(text: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for name in READ_AS:
@@ -361,27 +408,85 @@ class Restorer:
                 out[name] = (form[:at] + y + form[at + len(word) :], gain if heard else min(gain, 0.0))
         return out
 
+    @staticmethod
+    def _runs(forms: list[str], gains: list[dict[str, tuple[str, float]]], name: str, begin: int) -> Iterator[tuple[int, int, float, int]]:
+        """Runs of one single-byte chain from ``begin`` on: begin, end, best gain of a stretch from the run's begin on and that stretch's end.
+
+        A run ends where the chain cannot map a form or the gain is used up; what follows does not depend on it. A form that comes again is no further evidence.
+        """
+        total, best, stop, heard = 0.0, -math.inf, begin, set()
+        for i in range(begin, len(forms)):
+            if name in gains[i]:
+                gain = gains[i][name][1]
+                if gain < 0 or forms[i] not in heard:
+                    total += gain
+                    heard.add(forms[i])
+                if total + STEP_OTHER > best:
+                    best, stop = total + STEP_OTHER, i + 1
+                ends = total <= 0
+            else:
+                ends = not forms[i].strip(PUNCTUATION).isascii() or total <= 0
+            if ends:
+                yield begin, i + 1, best, stop
+                total, begin, best, heard = 0.0, i + 1, -math.inf, set()
+        if begin < len(forms):
+            yield begin, len(forms), best, stop
+
     def stretch(self, forms: list[str]) -> tuple[float, str, int, int]:
-        """The best run of forms misread by one single-byte chain: its gain, the chain, begin and end. A form that comes again is no further evidence."""
+        """The best run of forms misread by one single-byte chain: its gain, the chain, begin and end."""
         gains = [self.other(f) for f in forms]
         best = (-math.inf, "", 0, 0)
         for name in {n for g in gains for n, (_, gain) in g.items() if gain > 0}:
-            total, begin, heard = 0.0, 0, set()
-            for i, g in enumerate(gains):
-                if name not in g:
-                    if forms[i].strip(PUNCTUATION).isascii():
-                        continue
-                    total, begin, heard = 0.0, i + 1, set()
-                    continue
-                if total <= 0:
-                    total, begin, heard = 0.0, i, set()
-                if g[name][1] < 0 or forms[i] not in heard:
-                    total += g[name][1]
-                    heard.add(forms[i])
-                if total + STEP_OTHER > best[0]:
-                    best = (total + STEP_OTHER, name, begin, i + 1)
+            for begin, _, gain, end in self._runs(forms, gains, name, 0):
+                if gain > best[0]:
+                    best = (gain, name, begin, end)
         return best
 
+    def undo_stretches(self, forms: list[str]) -> bool:
+        """Undo the best stretch in place, again and again until none gains more than the margin; whether there was one.
+
+        Each time only the runs that meet the changed forms are scanned anew. It ends, as each time the sum of the
+        forms' log-probabilities rises by more than the margin.
+        """
+        gains = [self.other(f) for f in forms]
+        starts: dict[str, bytearray] = {}  # where runs of a chain begin
+        live: dict[tuple[str, int], tuple[float, int]] = {}
+        heap: list[tuple[float, str, int, int]] = []
+
+        def scan(name: str, begin: int, until: int) -> None:
+            marks = starts[name]
+            for at, after, gain, end in self._runs(forms, gains, name, begin):
+                for i in range(at, after):
+                    if marks[i]:
+                        marks[i] = 0
+                        live.pop((name, i), None)
+                marks[at] = 1
+                if gain > self.model.margin:
+                    live[name, at] = (gain, end)
+                    heapq.heappush(heap, (-gain, name, at, end))
+                if after >= until and (after == len(forms) or marks[after]):
+                    break
+
+        def add(names: set[str]) -> None:
+            for name in sorted(names - starts.keys()):
+                starts[name] = bytearray(len(forms))
+                scan(name, 0, len(forms))
+
+        add({n for g in gains for n, (_, gain) in g.items() if gain > 0})
+        found = False
+        while heap:
+            gain, name, begin, end = heapq.heappop(heap)
+            if live.get((name, begin)) != (-gain, end):
+                continue
+            found = True
+            for i in range(begin, end):
+                forms[i] = gains[i].get(name, (forms[i], 0.0))[0]
+                gains[i] = self.other(forms[i])
+            for other, marks in starts.items():
+                scan(other, marks.rfind(1, 0, begin + 1), end)
+            add({n for g in gains[begin:end] for n, (_, gain) in g.items() if gain > 0})
+        return found
+
     def _forms(self, text: str) -> list[tuple[int, int, str]]:
         """The forms with other than ASCII characters and where they lie; long ones as pieces, each of a run with its surroundings."""
         out = []
@@ -391,7 +496,7 @@ class Restorer:
             if m.end() - m.start() <= 400:
                 out.append((m.start(), m.end(), m.group()))
             else:
-                out += [(m.start() + p.start(), m.start() + p.end(), p.group()) for p in re.finditer(r"[\x00-\x7f]{0,8}[^\x00-\x7f]{1,300}[\x00-\x7f]{0,8}", m.group())]
+                out += [(m.start() + a, m.start() + b, m.group()[a:b]) for a, b in _pieces(m.group())]
         return out
 
     def gain(self, text: str) -> float:
@@ -411,13 +516,7 @@ class Restorer:
             y, gain = self.utf8(f)
             if gain > margin:
                 forms[i], found = y, True
-        for _ in range(8):  # several stretches may have been misread in several ways
-            gain, name, begin, end = self.stretch(forms)
-            if gain <= margin:
-                break
-            found = True
-            for i in range(begin, end):
-                forms[i] = self.other(forms[i]).get(name, (forms[i], 0.0))[0]
+        found |= self.undo_stretches(forms)  # several stretches may have been misread in several ways
         if not found:
             return text, False
         out, at = [], 0

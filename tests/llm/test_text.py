@@ -93,6 +93,25 @@ def test_garbled_forms_are_restored(model):
     assert restorer.text(text) == (text, False)
 
 
+def test_every_stretch_is_restored(model):
+    restorer = encoding.Restorer(model)
+    text = "Der Griff ist hübsch anzusehen, während der Deckel größer als gedacht war und übermäßig schwer."
+    garbled = encoding.misread(text, "cp1252", "mac_roman")
+    for n in (9, 40):
+        assert restorer.text(" 日本語 ".join([garbled] * n)) == (" 日本語 ".join([text] * n), True), n
+    assert restorer.text(" 日本語 ".join([garbled, text] * 12)) == (" 日本語 ".join([text] * 24), True)
+
+
+def test_long_runs_are_cut_between_sequences(model):
+    restorer = encoding.Restorer(model)
+    text = "привет—мир…да" * 80
+    once = encoding.misread(text, "utf-8", "cp1252")
+    for garbled in (once, encoding.misread(once, "utf-8", "cp1252")):
+        assert restorer.text(garbled) == (text, True)
+        pieces = list(encoding._pieces(garbled))
+        assert len(pieces) > 3 and "".join(garbled[a:b] for a, b in pieces) == garbled
+
+
 def test_odd_but_correct_texts_are_left(model):
     restorer = encoding.Restorer(model)
     for text in ["", "plain", "ATENÇÃO, DECEPÇÃO!", "£9 – 11 € ½ lb ±0.2 90 °C", "Ｇｒｅａｔ 🙂", "caf́e jusqu’à l’été", "NÃO COMPREM", "Nº 2"]:
