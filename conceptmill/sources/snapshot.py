@@ -282,14 +282,15 @@ def import_snapshot(spark: SparkSession, path: str, work: str, config: Config |
     domain = domain.join(declared, "refset", "full").select("refset", F.coalesce("declared", "by_rows").alias("concept_based"))
 
     progress("identifiers")
-    identifier = spark.createDataFrame([], fixed.SCHEMAS["identifier"])
+    parts = [spark.createDataFrame([], fixed.SCHEMAS["identifier"])]
     for name in seen.files["sct2_Identifier_"]:
         order = a.first_line(name).replace("\t", " ")
         if order not in IDENTIFIER_ORDERS:
             raise ImportFailure(f"{name}: the header has another order")
-        identifier = cut(a.rows(name, order.split()).select(_long("identifierSchemeId").alias("scheme"), F.col("alternateIdentifier").alias("code"), _long("referencedComponentId").alias("component"), _long("moduleId").alias("module_id"), _date("effectiveTime").alias("effective_time"), _active().alias("active")))
-        _check(identifier.groupBy("scheme", "code").count().filter("count > 1").select("code"), "an identifier is there twice")
-        _check(identifier.filter(F.col("code").rlike("[\\x00-\\x1f\\x7f]")).select("code"), "an identifier with control characters")
+        parts.append(a.rows(name, order.split()).select(_long("identifierSchemeId").alias("scheme"), F.col("alternateIdentifier").alias("code"), _long("referencedComponentId").alias("component"), _long("moduleId").alias("module_id"), _date("effectiveTime").alias("effective_time"), _active().alias("active")))
+    identifier = cut(reduce(DataFrame.unionByName, parts))
+    _check(identifier.groupBy("scheme", "code").count().filter("count > 1").select("code"), "an identifier is there twice")
+    _check(identifier.filter(F.col("code").rlike("[\\x00-\\x1f\\x7f]")).select("code"), "an identifier with control characters")
 
     progress("history")
     kinds_of_history = closure.filter(F.col("ancestor") == fixed.ASSOCIATIONS).select(F.col("descendant").alias("refset"))

@@ -64,6 +64,14 @@ def test_import(spark, tmp_path):
     assert snapshot.module_check(made).count() == 0
 
 
+def test_every_identifier_file_counts(spark, tmp_path):
+    other = lambda code: {"sct2_Identifier_Extension": "\t".join(snapshot.IDENTIFIER_ORDERS[1].split()) + f"\r\n{SIMPLE}\t{code}\t{DATE}\t1\t{MODULE}\t{LEFT}\r\n", "sct2_Identifier_Third": "\t".join(snapshot.IDENTIFIER_ORDERS[0].split()) + "\r\n"}
+    made = snapshot.import_snapshot(spark, archive(tmp_path / "i.zip", **other("L-2")), str(tmp_path / "work"))
+    assert sorted((r.scheme, r.code, r.component) for r in made.identifier.collect()) == [(SIMPLE, "L-1", LEAF), (SIMPLE, "L-2", LEFT)]
+    with pytest.raises(snapshot.ImportFailure, match="there twice"):
+        snapshot.import_snapshot(spark, archive(tmp_path / "j.zip", **other("L-1")), str(tmp_path / "again"))
+
+
 def test_edition_and_assessment(spark, tmp_path):
     from conceptmill.sources import editions
 
