@@ -98,6 +98,11 @@ def word_index(spark: SparkSession, d: str) -> DataFrame:
     return star_catalog(spark, d).word.join(star(spark, d).concepts(f"< {C(15, 13)}"), "concept_id", "left_semi")
 
 
+def words_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """The word index of every active description."""
+    return star_catalog(spark, d).word
+
+
 def refset_members(spark: SparkSession, d: str) -> DataFrame:
     return release_catalog(spark, d).membership
 
@@ -130,7 +135,13 @@ then_ AS (SELECT * FROM states WHERE t <= {OLD} QUALIFY row_number() OVER (PARTI
 n AS (SELECT id FROM concepts WHERE active = 1), o AS (SELECT id FROM then_ WHERE active = 1)
 SELECT coalesce(n.id, o.id) AS concept_id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM n FULL JOIN o ON n.id = o.id""",
     "word_index": f"SELECT DISTINCT {X(17, 'p_partkey')} AS concept_id, unnest(regexp_extract_all(lower(p_name || ' (part)'), '[0-9a-z]+')) AS word FROM part WHERE p_brand = 'Brand#13'",
+    "words_of_all": f"""
+WITH terms AS (
+  SELECT {X(17, 'p_partkey')} AS concept_id, p_name || ' (part)' AS term FROM part UNION ALL SELECT {X(13, 'c_custkey')}, c_name || ' (customer)' FROM customer
+  UNION ALL SELECT {X(12, 'n_nationkey')}, n_name || ' (nation)' FROM nation UNION ALL SELECT {X(11, 'r_regionkey')}, r_name || ' (region)' FROM region
+  UNION ALL SELECT {X(23, 'doc_id')}, title FROM documents WHERE coalesce(title, '') <> '' AND coalesce(rating <> 1, false))
+SELECT DISTINCT concept_id, unnest(regexp_extract_all(translate(lower(term), '{fixed.FOLD_FROM}', '{fixed.FOLD_TO}'), '[0-9a-z]+')) AS word FROM terms""",
     "refset_members": f"WITH {MEMBERS} SELECT DISTINCT refset_id AS refset, referenced_component_id AS member FROM known",
     "display_of_all": f"SELECT {X(17, 'p_partkey')} AS concept_id, {PART_TERM} AS term FROM part UNION ALL SELECT {X(13, 'c_custkey')}, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_name || ' (customer)' END FROM customer UNION ALL SELECT {X(12, 'n_nationkey')}, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE n_name || ' (nation)' END FROM nation UNION ALL SELECT {X(11, 'r_regionkey')}, CASE WHEN r_regionkey % 2 = 0 THEN r_name ELSE r_name || ' (region)' END FROM region UNION ALL SELECT {X(23, 'doc_id')}, title FROM documents WHERE coalesce(title, '') <> '' AND coalesce(rating <> 1, false) AND CASE WHEN regexp_full_match(lower(lang), '[a-z]{{2}}') THEN lower(lang) ELSE 'en' END = 'en'",
 }
-QUERIES = {name: run(name) for name in EXPRESSIONS} | {f.__name__: f for f in (search_match, search_ranked, search_within, labels, csv_rows, window_of_result, history_successors, edition_diff, display_of_all, word_index, refset_members)}
+QUERIES = {name: run(name) for name in EXPRESSIONS} | {f.__name__: f for f in (search_match, search_ranked, search_within, labels, csv_rows, window_of_result, history_successors, edition_diff, display_of_all, word_index, words_of_all, refset_members)}

@@ -45,6 +45,12 @@ def test_query(spark, db, name):
         assert max(got.values(), default=1) == 1
 
 
+def test_words_of_every_kind_are_checked(spark, db):
+    ids = {r.concept_id for r in entry.queries()["words_of_all"](spark, SF).collect()}
+    assert {i // 10**12 for i in ids} == {11, 12, 13, 17, 23}
+    assert sum(i // 10**12 == 17 for i in ids) == db.execute("SELECT count(*) FROM part").fetchone()[0]
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["concept_id"]
 
