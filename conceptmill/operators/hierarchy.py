@@ -16,16 +16,20 @@ from ..session import cut, skew_join
 
 #: Siblings of one parent are numbered in this many salted groups.
 SIBLING_GROUPS = 64
+#: Depth-first numbers of one root that :func:`descendants` joins by one key.
+NUMBERS_PER_BLOCK = 64
 
 
 @dataclass
 class Forest:
     """``nodes``: node, root, depth, chain, place, size, first (0 = the root's own number in depth-first order),
-    tree nodes only. ``chains``: chain, up, up_place, root, depth, first. ``cyclic``: node, cycle, on_cycle."""
+    tree nodes only. ``chains``: chain, up, up_place, root, depth, first. ``cyclic``: node, cycle, on_cycle.
+    Not ``numbered``: first means nothing."""
 
     nodes: DataFrame
     chains: DataFrame
     cyclic: DataFrame
+    numbered: bool = True
 
 
 def _nodes(links: DataFrame, child: str, parent: str) -> DataFrame:
@@ -136,7 +140,7 @@ def heavy_paths(links: DataFrame, child: str, parent: str, numbers: bool = True)
     of_chain = chains.select("chain", "root", F.col("depth").alias("d0"), F.col("first").alias("f0"))
     full = skew_join(labelled, of_chain, "chain", how="inner", total=n)
     full = full.select("node", "root", (F.col("d0") + F.col("place")).alias("depth"), "chain", "place", "size", (F.col("f0") + F.col("place")).alias("first"))
-    return Forest(full, chains, cyclic)
+    return Forest(full, chains, cyclic, numbers)
 
 
 def roots_and_depths(links: DataFrame, child: str, parent: str) -> DataFrame:
@@ -165,10 +169,20 @@ def paths(forest: Forest) -> DataFrame:
 
 
 def descendants(forest: Forest) -> DataFrame:
-    """(ancestor, descendant, distance), proper pairs; the size of the result is the sum of all depths."""
-    full = paths(forest)
-    steps = full.select(F.col("node").alias("descendant"), F.posexplode("path").alias("at", "ancestor"), (F.size("path") - 1).alias("end"))
-    return steps.filter(F.col("at") < F.col("end")).select("ancestor", "descendant", (F.col("end") - F.col("at")).alias("distance"))
+    """(ancestor, descendant, distance), proper pairs; the size of the result is the sum of all depths.
+
+    The descendants of a node are the numbers first + 1 .. first + size - 1 of its root: each interval meets
+    the nodes of the blocks of numbers that it touches, so no row is longer than a node's and no key is hotter
+    than a block and the intervals over it. The forest must have numbers.
+    """
+    if not forest.numbered:
+        raise ValueError("descendants need depth-first numbers")
+    block = lambda c: F.floor(c / F.lit(NUMBERS_PER_BLOCK)).cast("long")
+    inner = forest.nodes.filter("size > 1").select(F.col("node").alias("ancestor"), "root", F.col("depth").alias("top"), F.col("first").alias("begin"), (F.col("first") + F.col("size")).alias("end"))
+    inner = inner.withColumn("block", F.explode(F.sequence(block(F.col("begin") + 1), block(F.col("end") - 1))))
+    below = forest.nodes.select(F.col("node").alias("descendant"), "root", "depth", "first", block(F.col("first")).alias("block"))
+    met = inner.join(below, ["root", "block"]).filter((F.col("first") > F.col("begin")) & (F.col("first") < F.col("end")))
+    return met.select("ancestor", "descendant", (F.col("depth") - F.col("top")).cast("int").alias("distance"))
 
 
 def last_of_series(links: DataFrame, node: str, following: str) -> DataFrame:

@@ -60,7 +60,7 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return descendants(heavy_paths(is_a_links(spark, d), "source_id", "destination_id", numbers=False)).select(F.col("ancestor").alias("concept_id"), F.col("descendant").alias("descendant_id"), F.col("distance").cast("long").alias("distance"))
+    return descendants(heavy_paths(is_a_links(spark, d), "source_id", "destination_id")).select(F.col("ancestor").alias("concept_id"), F.col("descendant").alias("descendant_id"), F.col("distance").cast("long").alias("distance"))
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:

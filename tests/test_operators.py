@@ -107,6 +107,25 @@ def test_forest_shapes(spark, links):
     check_forest(spark, links)
 
 
+def test_descendants_come_from_intervals(spark, monkeypatch):
+    def refused(forest):
+        raise AssertionError("full paths")
+
+    monkeypatch.setattr(hierarchy, "paths", refused)
+    links = [(i, i - 1) for i in range(1, 70)] + [(100 + i, 30) for i in range(150)] + [(1000 + i, 2000) for i in range(70)] + [(5001, 5000), (5000, 5001), (5002, 5001)]
+    parent = dict(links[:-3])
+    want = []
+    for n in parent:
+        at, steps = n, 0
+        while at in parent:
+            at, steps = parent[at], steps + 1
+            want.append((at, n, steps))
+    df = spark.createDataFrame(links, "c long, p long")
+    assert rows(hierarchy.descendants(hierarchy.heavy_paths(df, "c", "p")), "ancestor", "descendant", "distance") == sorted(want, key=repr)
+    with pytest.raises(ValueError, match="numbers"):
+        hierarchy.descendants(hierarchy.heavy_paths(df, "c", "p", numbers=False))
+
+
 # ---- hot keys
 
 
