@@ -79,6 +79,10 @@ def misread(text: str, written: str, read: str) -> str:
     return "".join(table[b] for b in data)
 
 
+#: A lost character misread again, which no author writes; that of ISO 8859-5 is Cyrillic letters and proves nothing by itself.
+UNPROVEN = "iso8859_5"
+LOST_READ = re.compile("|".join(sorted({re.escape(misread(LOST, "utf-8", n)) for n in READ_AS if n != UNPROVEN})))
+
 _SEQUENCE = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
 
@@ -216,7 +220,7 @@ def is_clean(text: str) -> bool:
     """No lost or control characters, and no run of other than ASCII characters that reads as UTF-8 for ordinary ones."""
     if text.isascii():
         return True
-    if LOST in text or CONTROL.search(text):
+    if LOST in text or CONTROL.search(text) or LOST_READ.search(text):
         return False
     return not any(_run_reads(r) for r in set(RUN.findall(text)) if len(r) > 1)
 
@@ -269,14 +273,23 @@ class Model:
         """Whether clean records have all of the form's characters."""
         return all(c.isascii() or self._n(c) > 0 for c in core(form))
 
+    def possible(self, y: str, chain: str) -> bool:
+        """Whether clean records have all characters that ``y`` has, lost ones apart.
+
+        After UTF-8 steps alone, an ordinary character of three bytes and more may be unseen: its sequence is evidence enough to weigh it.
+        """
+        unseen = [c for c in core(y) if c != LOST and not c.isascii() and self._n(c) <= 0]
+        return not unseen or (all(step.startswith("utf-8>") for step in chain.split()) and all(ord(c) >= 0x800 and ORDINARY.fullmatch(c) for c in unseen))
+
     def best(self, form: str) -> tuple[str, float, str]:
-        """The likeliest candidate, its gain over the form as it is, and its chain."""
-        options = [(y, cost, chain) for y, (cost, chain) in candidates(form).items() if self.known(y)]
+        """The likeliest candidate, its gain over the form as it is, and its chain; a candidate with further lost characters proves the form garbled."""
+        options = [(y, cost, chain) for y, (cost, chain) in candidates(form).items() if self.possible(y, chain)]
         if not options:
             return form, -math.inf, ""
+        proof = [o for o in options if o[0].count(LOST) > form.count(LOST) and UNPROVEN not in o[2]]
         own = self.log_probability(form)
-        gain, y, chain = max((self.log_probability(y) + cost - own, y, chain) for y, cost, chain in options)
-        return y, gain, chain
+        gain, y, chain = max((self.log_probability(y) + cost - own, y, chain) for y, cost, chain in proof or options)
+        return y, math.inf if proof else gain, chain
 
 
 def gram_counts(records: Iterator[pd.DataFrame], earlier: Model | None = None) -> Iterator[pd.DataFrame]:

@@ -112,6 +112,25 @@ def test_long_runs_are_cut_between_sequences(model):
         assert len(pieces) > 3 and "".join(garbled[a:b] for a, b in pieces) == garbled
 
 
+def test_lost_characters_misread_again(model):
+    restorer = encoding.Restorer(model)
+    for name in encoding.READ_AS:
+        if name != encoding.UNPROVEN:
+            again = encoding.misread("caf�", "utf-8", name)
+            assert not encoding.is_clean(f"a {again} tray"), name
+            assert restorer.text(f"a {again} tray") == ("a caf� tray", True), name
+    assert restorer.text("ï¿½") == ("�", True) and restorer.text("gut ï¿½brig hÃ¼bsch") == ("gut �brig hübsch", True)
+
+
+def test_unseen_characters_of_long_sequences(model):
+    restorer = encoding.Restorer(model)
+    rare = "🦕"
+    assert model._n(rare) == 0
+    assert restorer.text("nice " + encoding.misread(rare, "utf-8", "cp1252")) == ("nice " + rare, True)
+    assert restorer.text(f"nice {rare}") == (f"nice {rare}", False)
+    assert all(restorer.utf8(form)[1] <= model.margin for form in "┌──┐ │ok│ └──┘ ╔══╗ ╚══╝ ░▒▓█ ═╝".split())
+
+
 def test_odd_but_correct_texts_are_left(model):
     restorer = encoding.Restorer(model)
     for text in ["", "plain", "ATENÇÃO, DECEPÇÃO!", "£9 – 11 € ½ lb ±0.2 90 °C", "Ｇｒｅａｔ 🙂", "caf́e jusqu’à l’été", "NÃO COMPREM", "Nº 2"]:
