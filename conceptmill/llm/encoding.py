@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Buckets of each of the two rows of hashed n-gram counts, which bound the model (and what is broadcast) at any corpus size.
@@ -362,7 +362,7 @@ def validated_margin(errors: pd.DataFrame) -> float:
 
 
 def train(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Model:
-    """Count n-grams of all clean records (but one in HELD_OUT) and validate the margin on the held-out ones.
+    """Count n-grams of all clean records but one in HELD_OUT, validate the margin on the held-out ones and add their counts.
 
     A first model is trained on records that are clean by their form; the second, which is returned, leaves out
     those that the first finds garbled.
@@ -373,21 +373,23 @@ def train(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
     held = F.pmod(F.xxhash64(id_column), F.lit(HELD_OUT)) == 0
     context = documents.sparkSession.sparkContext
 
-    def counted(earlier: Model | None) -> Model:
+    def counted(earlier: Model | None, which: Column) -> Model:
         shared = context.broadcast(earlier)
-        sums = slim.filter(~held).select("text").mapInPandas(lambda records: gram_counts(records, shared.value), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+        sums = slim.filter(which).select("text").mapInPandas(lambda records: gram_counts(records, shared.value), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros(2 * BUCKETS, dtype=np.float32)
         real = sums[sums.bucket >= 0]
         counts[real.bucket.to_numpy()] = real.n.to_numpy()
         return Model(counts, float(sums[sums.bucket < 0].n.sum()), DOUBTFUL)
 
-    model = counted(counted(None))
+    first = counted(None, ~held)
+    model = counted(first, ~held)
 
     trained = context.broadcast(model)
     foreign = slim.filter(held & F.col("text").rlike("[^\\x00-\\x7f]")).select("text")
     per_partition = foreign.mapInPandas(lambda records: margin_errors(records, trained.value), "margin double, clean_over long, bad_under long, n_clean long, n_bad long")
     model.margin = validated_margin(per_partition.groupBy("margin").agg(*[F.sum(c).alias(c) for c in ("clean_over", "bad_under", "n_clean", "n_bad")]).toPandas())
-    return model
+    rest = counted(first, held)
+    return Model(model.counts + rest.counts, model.total + rest.total, model.margin)
 
 
 class Restorer:

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from conceptmill.llm import encoding, leakage, packing
 from conceptmill.llm import queries as registered
@@ -159,6 +160,14 @@ def test_restore_rows(spark, model):
     assert encoding.restore(docs.limit(0), model).count() == 0
 
 
+def test_held_out_records_are_counted_in_the_end(spark):
+    docs = spark.range(200).withColumnRenamed("id", "doc_id")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(encoding.HELD_OUT)) == 0
+    n = docs.filter(held).count()
+    model = encoding.train(docs.withColumn("text", F.when(held, "ein žlutý kůň").otherwise("ein hübscher Griff")))
+    assert n > 3 and model._n("ž") == n - 1 and model._n("ü") == 200 - n - 1
+
+
 def test_training_on_nothing(spark):
     model = encoding.train(spark.createDataFrame([], "doc_id long, text string"))
     assert encoding.Restorer(model).text("naïve") == ("naïve", False)
