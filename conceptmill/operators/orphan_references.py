@@ -23,8 +23,8 @@ def orphan_keys(references: DataFrame, deltas: DataFrame) -> DataFrame:
     """(key, at, n_refs, reason) of every (key, at) with references and no existence.
 
     ``references`` has (key, at). Reference counts are added up per (key, at) before the shuffle by
-    key, so a hot key brings one row per date. References and existence changes are
-    then one signed change log per key, whose running sums give existence at each date:
+    key, so a hot key brings one row per date. They stand with the signed existence changes in
+    one log per key; running sums of the changes, not of the references, give existence at each date:
     ``missing`` if no state exists at all, ``late`` if the first one begins after the date,
     ``deleted`` if existence has been taken back.
     """
