@@ -207,6 +207,12 @@ def corpus_counts(spark: SparkSession, d: str) -> DataFrame:
     return Engine(star_catalog(spark, d)).evaluate_many(CORPUS).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {name: run(name) for name in EXPRESSIONS} | {"corpus_counts": corpus_counts}
+def corpus_counts_all(spark: SparkSession, d: str) -> DataFrame:
+    """The number of concepts of every concept expression; one without concepts has no row."""
+    return Engine(star_catalog(spark, d)).evaluate_many({name: x for name, (x, _) in CONCEPTS.items()}).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {name: run(name) for name in EXPRESSIONS} | {"corpus_counts": corpus_counts, "corpus_counts_all": corpus_counts_all}
 SQL = {name: sql for name, (_, sql) in EXPRESSIONS.items()}
 SQL["corpus_counts"] = " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n FROM ({CONCEPTS[name][1]}) HAVING count(*) > 0" for name in CORPUS)
+SQL["corpus_counts_all"] = " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n FROM ({sql}) HAVING count(*) > 0" for name, (_, sql) in CONCEPTS.items())

@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from conceptmill.plans import expressions
 
 SF = "/root/testdata/sf0.001"
 TEXT = {n for n in entry.queries() if n.startswith(("p6_", "p7_", "p8_"))}
@@ -51,6 +52,10 @@ def test_words_of_every_kind_are_checked(spark, db):
     assert sum(i // 10**12 == 17 for i in ids) == db.execute("SELECT count(*) FROM part").fetchone()[0]
 
 
+def test_every_concept_expression_is_in_a_corpus():
+    assert all(f"'{name}' AS name" in entry.oracle_sql()["corpus_counts_all"] for name in expressions.CONCEPTS) and len(expressions.CONCEPTS) > len(expressions.CORPUS)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["concept_id"]
 
