@@ -1,4 +1,6 @@
+import bisect
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -185,6 +187,35 @@ def test_fill_keeps_capacity(sizes):
     assert len(sums) <= 2 * -(-sum(sizes) // 50)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=7))
+def test_least_containers_is_a_bound(sizes):
+    def fewest(rest, loads):
+        if not rest:
+            return len(loads)
+        options = [loads[:i] + [load + rest[0]] + loads[i + 1 :] for i, load in enumerate(loads) if load + rest[0] <= 12] + [[*loads, rest[0]]]
+        return min(fewest(rest[1:], o) for o in options)
+
+    best = fewest(sorted(sizes, reverse=True), [])
+    assert packing.least_containers(np.array(sizes), 12) <= best <= packing.fill(np.array(sizes), 12).max() + 1
+
+
+def best_fit_decreasing(sizes, capacity):
+    room = []
+    for s in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(room, s)
+        bisect.insort(room, (room.pop(at) if at < len(room) else capacity) - s)
+    return len(room)
+
+
+@pytest.mark.parametrize("low, high, n", [(400, 1400, 580), (300, 700, 1050), (600, 1100, 620), (100, 2000, 500), (1, 200, 5000), (1025, 1025, 512), (683, 683, 768)])
+def test_fill_is_near_best_fit(low, high, n):
+    sizes = np.random.default_rng(5).integers(low, high + 1, n)
+    began = time.perf_counter()
+    used = packing.fill(sizes, 2048).max() + 1
+    assert used <= 1.02 * best_fit_decreasing(sizes, 2048) and time.perf_counter() - began < 5
+
+
 def test_differencing_balances():
     assert sorted(np.bincount(packing.differencing(np.array([8, 7, 6, 5, 4]), 2), weights=[8, 7, 6, 5, 4])) == [14, 16]
     sizes = np.random.default_rng(2).integers(1, 400, 3000)
