@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Buckets of each of the two rows of hashed n-gram counts, which bound the model (and what is broadcast) at any corpus size.
@@ -26,6 +26,10 @@ READ_AS = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251
 MAX_STEPS = 4
 #: Log-probabilities of a step, against no step: UTF-8 proves itself by its form, other encodings do not.
 STEP_UTF8, STEP_OTHER, STEP_OTHER_FIRST = -1.0, -6.0, -12.0
+#: Counts and probabilities of n-grams, and judged forms, that a task keeps at hand; more are worked out again.
+REMEMBERED = 1_000_000
+#: Slices of the counters, and how many partitions' slices are added up at a time.
+SLICES, FAN_IN = 32, 64
 #: Gain beyond which a record is left out of the second training.
 DOUBTFUL = 2.0
 #: Sentence punctuation around a word form, no evidence for a single-byte encoding.
@@ -33,6 +37,8 @@ PUNCTUATION = ".,!?;:…\"'()[]–—“”„«»‹›-/*"
 LOST = "�"
 CONTROL = re.compile("[\x80-\x9f]")
 TOKEN = re.compile("[^ \t\n\r]+")
+#: Tokens with other than ASCII characters; the look-behind keeps the search linear in long ASCII tokens.
+FOREIGN = re.compile("(?<![^ \t\n\r])[\x00-\x08\x0b\x0c\x0e-\x1f\x21-\x7f]*+[^\x00-\x7f][^ \t\n\r]*")
 MARKUP = re.compile("<[^<>]*>")
 RUN = re.compile("[^\x00-\x7f]+")
 
@@ -83,6 +89,7 @@ def misread(text: str, written: str, read: str) -> str:
 UNPROVEN = "iso8859_5"
 LOST_READ = re.compile("|".join(sorted({re.escape(misread(LOST, "utf-8", n)) for n in READ_AS if n != UNPROVEN})))
 
+_TWO = re.compile("[^\x00-\x7f]{2}")
 _SEQUENCE = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
 
@@ -92,6 +99,8 @@ def _undo_utf8(text: str) -> dict[str, str]:
     Characters that are no part of a sequence stay, so a word may be garbled in places.
     """
     out: dict[str, str] = {}
+    if not _TWO.search(text):
+        return out
     for name in READ_AS:
         back = _tables(name)[0]
         raw = "".join(chr(back.get(c, 0)) if ord(c) > 127 else "\0" for c in text)
@@ -155,33 +164,31 @@ def _pieces(form: str) -> Iterator[tuple[int, int]]:
         yield begin, at
 
 
-def _undo_other(text: str) -> dict[str, str]:
-    out: dict[str, str] = {}
+@lru_cache(maxsize=50_000)
+def _rereadings(chars: str) -> list[tuple[dict[int, str], list[str]]]:
+    """What pairs of single-byte encodings make of a word's other than ASCII characters: each mapping with the chains that give it.
+
+    All the encodings agree on ASCII. Mappings with control characters are left out.
+    """
+    found: dict[tuple[str, ...], list[str]] = {}
     for name in READ_AS:
-        data = to_bytes(text, name)
+        data = to_bytes(chars, name)
         if data:
             for origin in READ_AS:
                 if origin != name:
                     table = _tables(origin)[1]
-                    y = "".join(table[b] for b in data)
-                    if not CONTROL.search(y):
-                        out.setdefault(y, f"{origin}>{name}")
-    out.pop(text, None)
-    return out
+                    found.setdefault(tuple(table[b] for b in data), []).append(f"{origin}>{name}")
+    return [({ord(c): y for c, y in zip(chars, made)}, chains) for made, chains in found.items() if not CONTROL.search("".join(made))]
 
 
-def _undo_other_all(text: str) -> list[tuple[str, str]]:
-    """(text, chain) of every pair of single-byte encodings, texts that stay as they are included."""
-    out = []
-    for name in READ_AS:
-        data = to_bytes(text, name)
-        if data:
-            for origin in READ_AS:
-                if origin != name:
-                    table = _tables(origin)[1]
-                    y = "".join(table[b] for b in data)
-                    if not CONTROL.search(y):
-                        out.append((y, f"{origin}>{name}"))
+def _foreign(text: str) -> str:
+    return "".join(sorted({c for c in text if c > "\x7f"}))
+
+
+def _undo_other(text: str) -> dict[str, str]:
+    """The texts that pairs of single-byte encodings make of ``text``, each with one of its chains."""
+    out = {text.translate(made): chains[0] for made, chains in _rereadings(_foreign(text)) if not CONTROL.search(text)}
+    out.pop(text, None)
     return out
 
 
@@ -254,19 +261,45 @@ class Model:
     total: float
     margin: float = 0.0
 
+    def __post_init__(self):
+        self._seen: dict[str, float] = {}
+        self._steps: dict[str, float] = {}
+
+    def __getstate__(self) -> dict:
+        return {"counts": self.counts, "total": self.total, "margin": self.margin}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
     def _n(self, gram: str) -> float:
-        a, b = _buckets(gram)
-        return max(0.0, float(min(self.counts[a], self.counts[b])) - 1.0)
+        n = self._seen.get(gram)
+        if n is None:
+            if len(self._seen) > REMEMBERED:
+                self._seen.clear()
+            a, b = _buckets(gram)
+            n = self._seen[gram] = max(0.0, float(min(self.counts[a], self.counts[b])) - 1.0)
+        return n
+
+    def _step(self, gram: str) -> float:
+        """Log-probability of the last character after the one or two before it."""
+        c, b = gram[-1], gram[-2]
+        p = (self._n(c) + 0.01) / (self.total + 1e4)
+        p = (self._n(b + c) + 4.0 * p) / (self._n(b) + 4.0)
+        if len(gram) == 3:
+            p = (self._n(gram) + 4.0 * p) / (self._n(gram[:2]) + 4.0)
+        if len(self._steps) > REMEMBERED:
+            self._steps.clear()
+        p = self._steps[gram] = math.log(min(1.0, p))
+        return p
 
     def log_probability(self, form: str) -> float:
-        s, out = f" {core(form)} ", 0.0
+        s, steps = f" {core(form)} ", self._steps
+        out = 0.0
         for i in range(1, len(s)):
-            c, b, a = s[i], s[i - 1 : i], s[max(0, i - 2) : i]
-            p = (self._n(c) + 0.01) / (self.total + 1e4)
-            p = (self._n(b + c) + 4.0 * p) / (self._n(b) + 4.0)
-            if len(a) == 2:
-                p = (self._n(a + c) + 4.0 * p) / (self._n(a) + 4.0)
-            out += math.log(min(1.0, p))
+            gram = s[i - 2 : i + 1] if i > 1 else s[:2]
+            p = steps.get(gram)
+            out += self._step(gram) if p is None else p
         return out
 
     def known(self, form: str) -> bool:
@@ -292,60 +325,101 @@ class Model:
         return y, math.inf if proof else gain, chain
 
 
-def gram_counts(records: Iterator[pd.DataFrame], earlier: Model | None = None) -> Iterator[pd.DataFrame]:
-    """Hashed n-gram counts of one partition's clean records; clean also by an ``earlier`` model, if there is one."""
-    restorer = Restorer(earlier) if earlier else None
-    counts = np.zeros(2 * BUCKETS, dtype=np.int64)
-    total = 0
+def _add_grams(forms: Counter[str], counts: np.ndarray) -> None:
+    """Add the hashed n-grams of forms to the counters; the last counter is the number of characters."""
+    grams: Counter[str] = Counter()
+    for form, n in forms.items():
+        for j in range(0, len(form), 4096):  # n-grams of very long forms by overlapping pieces
+            s = f" {form}"[j : j + 4098] if j + 4096 < len(form) else f" {form} "[j:]
+            counts[-1] += n * (min(len(form) - j, 4096) + (j + 4096 >= len(form)))
+            for k in (1, 2, 3):
+                for i in range(0 if not j else 3 - k, len(s) - k + 1):
+                    grams[s[i : i + k]] += n
+    for g, n in grams.items():
+        a, b = _buckets(g)
+        counts[a] += n
+        counts[b] += n
+
+
+def gram_counts(records: Iterator[pd.DataFrame], doubtful: Model | None = None) -> Iterator[pd.DataFrame]:
+    """Hashed n-gram counts of one partition's records (text, held) that are clean by their form; with a model only of those
+    that it finds garbled. One row per slice of the counters: group (1 = held out), slice, part, at, n."""
+    from pyspark import TaskContext
+
+    restorer = Restorer(doubtful) if doubtful else None
+    counts = np.zeros((2, 2 * BUCKETS + 1), dtype=np.int64)
+    forms: list[Counter[str]] = [Counter(), Counter()]
     for pdf in records:
-        forms: Counter[str] = Counter()
-        for text in pdf.text:
-            if text and is_clean(text) and not (restorer and restorer.text(text)[1]):
-                forms.update({core(f) for f in TOKEN.findall(text)})
-        grams: Counter[str] = Counter()
-        for form, n in forms.items():
-            for j in range(0, len(form), 4096):  # very long forms by overlapping pieces
-                piece = form[max(0, j - 2) : j + 4096]
-                s = f" {piece} "
-                total += n * (len(s) - 1)
-                for k in (1, 2, 3):
-                    for i in range(len(s) - k + 1):
-                        grams[s[i : i + k]] += n
-        for g, n in grams.items():
-            a, b = _buckets(g)
-            counts[a] += n
-            counts[b] += n
-    at = np.nonzero(counts)[0]
-    yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(counts[at], total)})
+        for text, held in zip(pdf.text, pdf.held):
+            if text and is_clean(text) and (restorer is None or restorer.garbled(text)):
+                forms[held].update({core(f) for f in TOKEN.findall(text)})
+        for held in (0, 1):
+            if len(forms[held]) > REMEMBERED // 4:
+                _add_grams(forms[held], counts[held])
+                forms[held].clear()
+    part = TaskContext.get().partitionId() if TaskContext.get() else 0
+    for held in (0, 1):
+        _add_grams(forms[held], counts[held])
+        for i, values in enumerate(np.array_split(counts[held], SLICES)):
+            at = np.nonzero(values)[0]
+            if len(at):
+                yield pd.DataFrame({"held": [held], "slice": [i], "part": [part], "at": [at.astype("<i4").tobytes()], "n": [values[at].astype("<i8").tobytes()]})
+
+
+SLICE_SCHEMA = "held int, slice int, part int, at binary, n binary"
+
+
+def _add_slices(pdf: pd.DataFrame) -> pd.DataFrame:
+    at = np.concatenate([np.frombuffer(x, "<i4") for x in pdf["at"]])
+    n = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["n"]])
+    where, back = np.unique(at, return_inverse=True)
+    sums = np.zeros(len(where), dtype="<i8")
+    np.add.at(sums, back, n)
+    return pdf.head(1).assign(part=pdf["part"].min() // FAN_IN, at=[where.astype("<i4").tobytes()], n=[sums.tobytes()])
+
+
+def merged_counts(slices: DataFrame, parts: int) -> np.ndarray:
+    """The counters of all partitions, held-out records in the second row.
+
+    Slices of FAN_IN partitions at a time are added up in rounds, so no task holds more than that many, and what reaches the driver
+    does not grow with the input.
+    """
+    while True:
+        slices = slices.withColumn("round", F.floor(F.col("part") / FAN_IN)).groupBy("held", "slice", "round").applyInPandas(lambda pdf: _add_slices(pdf.drop(columns="round")), SLICE_SCHEMA)
+        parts = -(-parts // FAN_IN)
+        if parts <= 1:
+            break
+    out = np.zeros((2, 2 * BUCKETS + 1), dtype=np.int64)
+    starts = np.cumsum([0, *[len(x) for x in np.array_split(out[0], SLICES)]])
+    for r in slices.toLocalIterator():
+        out[r["held"], starts[r["slice"]] + np.frombuffer(r["at"], "<i4")] += np.frombuffer(r["n"], "<i8")
+    return out
 
 
 #: Wrong readings that the margin is validated with.
 VALIDATION_CHAINS = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp437"), ("utf-8", "cp1250"), ("cp1251", "cp1252"), ("cp1250", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1251", "koi8_r")]
-#: A held-out record that gains more than this is garbled itself and validates nothing.
-SURELY_GARBLED = 15.0
-
-
 #: Margins that are tried.
-MARGINS = np.arange(2.0, SURELY_GARBLED, 0.5)
+MARGINS = np.arange(2.0, 15.0, 0.5)
 
 
 def margin_errors(records: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
     """Per margin, how many of one partition's held-out clean records exceed it and how many misread ones do not.
 
-    Each record is also misread, whole or in its middle third, by one of the VALIDATION_CHAINS; a hash of the text says which.
+    All records that are clean by their form count, whatever they gain. Each is also misread, whole or in its middle
+    third, by one of the VALIDATION_CHAINS; a hash of the text says which.
     """
     restorer = Restorer(model)
     clean, bad = [], []
     for pdf in records:
         for text in pdf.text:
-            if not is_clean(text) or (gain := restorer.gain(text)) > SURELY_GARBLED:
+            if not is_clean(text):
                 continue
-            clean.append(gain)
+            clean.append(restorer.gain(text, MARGINS[0]))
             h = xxhash.xxh64_intdigest(text)
             stretch = text if h % 2 else text[len(text) // 3 : 2 * len(text) // 3]
             garbled = misread(stretch, *VALIDATION_CHAINS[h // 2 % len(VALIDATION_CHAINS)])
             if garbled != stretch and LOST not in garbled:
-                bad.append(restorer.gain(text.replace(stretch, garbled, 1)))
+                bad.append(restorer.gain(text.replace(stretch, garbled, 1), MARGINS[0]))
     over = [int(np.sum(np.array(clean) > m)) for m in MARGINS]
     under = [int(np.sum(np.array(bad) <= m)) for m in MARGINS]
     yield pd.DataFrame({"margin": MARGINS, "clean_over": over, "bad_under": under, "n_clean": len(clean), "n_bad": len(bad)})
@@ -364,32 +438,30 @@ def validated_margin(errors: pd.DataFrame) -> float:
 def train(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Model:
     """Count n-grams of all clean records but one in HELD_OUT, validate the margin on the held-out ones and add their counts.
 
-    A first model is trained on records that are clean by their form; the second, which is returned, leaves out
-    those that the first finds garbled.
+    A first model is trained on records that are clean by their form; the counts of those that it finds garbled or doubtful are
+    then taken back, and what remains is the model. Both passes count held-out records apart, which are
+    added once the margin is validated.
 
-    Counts are made per partition and added up by bucket; at most 2 BUCKETS + 1 numbers, and the error counts of each margin, reach the driver. No record is sampled or cut.
+    Counts are made per partition and added up in rounds; 4 BUCKETS + 2 numbers at most, and the error counts of
+    each margin, reach the driver. No record is sampled or cut.
     """
-    slim = documents.select(id_column, F.col(text_column).alias("text")).filter(F.col("text").isNotNull())
-    held = F.pmod(F.xxhash64(id_column), F.lit(HELD_OUT)) == 0
+    held = (F.pmod(F.xxhash64(id_column), F.lit(HELD_OUT)) == 0).cast("int")
+    slim = documents.select(held.alias("held"), F.col(text_column).alias("text")).filter(F.length("text") > 0)
+    foreign = slim.filter(F.col("text").rlike("[^\\x00-\\x7f]"))
     context = documents.sparkSession.sparkContext
+    parts = slim.rdd.getNumPartitions()
 
-    def counted(earlier: Model | None, which: Column) -> Model:
-        shared = context.broadcast(earlier)
-        sums = slim.filter(which).select("text").mapInPandas(lambda records: gram_counts(records, shared.value), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-        counts = np.zeros(2 * BUCKETS, dtype=np.float32)
-        real = sums[sums.bucket >= 0]
-        counts[real.bucket.to_numpy()] = real.n.to_numpy()
-        return Model(counts, float(sums[sums.bucket < 0].n.sum()), DOUBTFUL)
-
-    first = counted(None, ~held)
-    model = counted(first, ~held)
+    def model_of(counts: np.ndarray) -> Model:
+        return Model(counts[:-1].astype(np.float32), float(counts[-1]), DOUBTFUL)
 
-    trained = context.broadcast(model)
-    foreign = slim.filter(held & F.col("text").rlike("[^\\x00-\\x7f]")).select("text")
-    per_partition = foreign.mapInPandas(lambda records: margin_errors(records, trained.value), "margin double, clean_over long, bad_under long, n_clean long, n_bad long")
-    model.margin = validated_margin(per_partition.groupBy("margin").agg(*[F.sum(c).alias(c) for c in ("clean_over", "bad_under", "n_clean", "n_bad")]).toPandas())
-    rest = counted(first, held)
-    return Model(model.counts + rest.counts, model.total + rest.total, model.margin)
+    counts = merged_counts(slim.mapInPandas(gram_counts, SLICE_SCHEMA), parts)
+    first = context.broadcast(model_of(counts[0]))
+    counts -= merged_counts(foreign.mapInPandas(lambda records: gram_counts(records, first.value), SLICE_SCHEMA), parts)
+    trained = context.broadcast(model_of(counts[0]))
+    errors = foreign.filter("held = 1").mapInPandas(lambda records: margin_errors(records, trained.value), "margin double, clean_over long, bad_under long, n_clean long, n_bad long")
+    model = model_of(counts[0] + counts[1])
+    model.margin = validated_margin(errors.groupBy("margin").agg(*[F.sum(c).alias(c) for c in ("clean_over", "bad_under", "n_clean", "n_bad")]).toPandas())
+    return model
 
 
 class Restorer:
@@ -397,31 +469,55 @@ class Restorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.utf8 = lru_cache(maxsize=200_000)(self._utf8)
-        self.other = lru_cache(maxsize=100_000)(self._other)
-
-    def _utf8(self, form: str) -> tuple[str, float]:
-        y, gain, _ = self.model.best(form)
-        return y, gain
-
-    def _other(self, form: str) -> dict[str, tuple[str, float]]:
-        """What each single-byte misreading would have made this form of, with the gain without the step's cost."""
+        self.judged: dict[str, tuple[str, float, float]] = {}
+        self.other = lru_cache(maxsize=20_000)(self._other)
+
+    def judge(self, form: str) -> tuple[str, float, float]:
+        """The best text by UTF-8 chains, its gain, and the most that a single-byte chain gains by this form."""
+        got = self.judged.get(form)
+        if got is None:
+            if len(self.judged) > REMEMBERED // 4:
+                self.judged.clear()
+            y, gain, _ = self.model.best(form) if _TWO.search(form) else (form, -math.inf, "")
+            most = max([0.0, *(gain for _, gain in self._rescored(form)[1])])
+            got = self.judged[form] = (y, gain, most)
+        return got
+
+    def utf8(self, form: str) -> tuple[str, float]:
+        return self.judge(form)[:2]
+
+    def _rescored(self, form: str) -> tuple[list[tuple[str, list[str]]], list[tuple[str, float]]]:
+        """What single-byte misreadings would have made this form of: (text, chains) and (text, gain without the step's cost), in one order."""
         word = form.strip(PUNCTUATION)
-        if word.isascii():
-            return {}
+        if word.isascii() or CONTROL.search(word):
+            return [], []
         own = self.model.log_probability(word)
         at = form.index(word)
-        out = {}
-        for y, name in _undo_other_all(word):
+        had = None
+        chains, gains = [], []
+        for made, names in _rereadings(_foreign(word)):
+            y = word.translate(made)
             if y == word:
-                out[name] = (form, 0.0)
-            elif self.model.known(y):
+                gain = 0.0
+            elif not self.model.known(y):
+                continue
+            else:
                 gain = self.model.log_probability(y) - own
-                # too little to tell: a letter or none, or letters that would become signs
-                had, has = (sum(c.isalpha() for c in core(x)) for x in (word, y))
-                heard = (had >= 2 or has >= 4) and 2 * has >= had
-                out[name] = (form[:at] + y + form[at + len(word) :], gain if heard else min(gain, 0.0))
-        return out
+                if gain > 0:
+                    # too little to tell: a letter or none, or letters that would become signs
+                    had = sum(c.isalpha() for c in core(word)) if had is None else had
+                    has = sum(c.isalpha() for c in core(y))
+                    if not ((had >= 2 or has >= 4) and 2 * has >= had):
+                        gain = 0.0
+            whole = form[:at] + y + form[at + len(word) :]
+            chains.append((whole, names))
+            gains.append((whole, gain))
+        return chains, gains
+
+    def _other(self, form: str) -> dict[str, tuple[str, float]]:
+        """Per single-byte chain, the text it would have made this form of, with the gain."""
+        chains, gains = self._rescored(form)
+        return {name: made for (_, names), made in zip(chains, gains) for name in names}
 
     @staticmethod
     def _runs(forms: list[str], gains: list[dict[str, tuple[str, float]]], name: str, begin: int) -> Iterator[tuple[int, int, float, int]]:
@@ -505,19 +601,26 @@ class Restorer:
     def _forms(self, text: str) -> list[tuple[int, int, str]]:
         """The forms with other than ASCII characters and where they lie; long ones as pieces, each of a run with its surroundings."""
         out = []
-        for m in TOKEN.finditer(text):
-            if m.group().isascii():
-                continue
+        for m in FOREIGN.finditer(text):
             if m.end() - m.start() <= 400:
                 out.append((m.start(), m.end(), m.group()))
             else:
                 out += [(m.start() + a, m.start() + b, m.group()[a:b]) for a, b in _pieces(m.group())]
         return out
 
-    def gain(self, text: str) -> float:
-        """The gain of the text's most garbled stretch."""
+    def _stretches_may_gain(self, forms: list[str], floor: float) -> bool:
+        """Whether the forms' single-byte gains suffice for any stretch to gain more than ``floor``; a form counts once."""
+        return sum(self.judge(f)[2] for f in set(forms)) + STEP_OTHER > floor
+
+    def gain(self, text: str, floor: float = -math.inf) -> float:
+        """The gain of the text's most garbled stretch; one of at most ``floor`` need not be exact."""
         forms = [f for _, _, f in self._forms(text)]
-        return max([-math.inf, *(self.utf8(f)[1] for f in forms), self.stretch(forms)[0]])
+        gain = max([-math.inf, *(self.judge(f)[1] for f in forms)])
+        return max(gain, self.stretch(forms)[0]) if self._stretches_may_gain(forms, floor) else gain
+
+    def garbled(self, text: str) -> bool:
+        """Whether any of the text is garbled, restorable or not."""
+        return not text.isascii() and (LOST in text or bool(CONTROL.search(text)) or self.gain(text, self.model.margin) > self.model.margin)
 
     def text(self, text: str) -> tuple[str, bool]:
         """The restored text, and whether any of it is garbled, restorable or not."""
@@ -531,7 +634,8 @@ class Restorer:
             y, gain = self.utf8(f)
             if gain > margin:
                 forms[i], found = y, True
-        found |= self.undo_stretches(forms)  # several stretches may have been misread in several ways
+        if self._stretches_may_gain(forms, margin):
+            found |= self.undo_stretches(forms)  # several stretches may have been misread in several ways
         if not found:
             return text, False
         out, at = [], 0

@@ -21,6 +21,8 @@ CAPACITY = 2048
 BLOCK_CONTAINERS = 256
 #: Items of one block, about; a block of very small items fills fewer containers.
 BLOCK_ITEMS = 16_384
+#: Blocks of one task, so that the scheduler does not put many seconds of work together because their rows are few bytes.
+BLOCKS_PER_TASK = 4
 #: The session's setting of the vocabulary file, and where it lies if that is unset.
 TOKENIZER_SETTING, TOKENIZER = "conceptmill.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -227,6 +229,7 @@ def pack(sized: DataFrame, id_column: str = "doc_id", size_column: str = "n_toke
         pdf["place"] = pdf.groupby("container").cumcount()
         return pdf[["id", "piece", "start", "size", "container", "place"]]
 
-    packed = open_.withColumn("block", key).groupBy("block").applyInPandas(one, f"id {kind}, piece int, start long, size long, container string, place long")
+    spread = open_.withColumn("block", key).repartition(min(-(-blocks // BLOCKS_PER_TASK), 100_000), "block")
+    packed = spread.groupBy("block").applyInPandas(one, f"id {kind}, piece int, start long, size long, container string, place long")
     full = pieces.filter(F.col("size") == capacity).withColumn("container", F.concat(F.lit("full-"), F.col("id").cast("string"), F.lit("-"), F.col("piece").cast("string"))).withColumn("place", F.lit(0).cast("long"))
     return packed.unionByName(full).withColumnRenamed("id", id_column)
