@@ -6,7 +6,7 @@ import heapq
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -27,7 +27,7 @@ MAX_STEPS = 4
 #: Log-probabilities of a step, against no step: UTF-8 proves itself by its form, other encodings do not.
 STEP_UTF8, STEP_OTHER, STEP_OTHER_FIRST = -1.0, -6.0, -12.0
 #: Counts and probabilities of n-grams, and judged forms, that a task keeps at hand; more are worked out again.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Slices of the counters, and how many partitions' slices are added up at a time.
 SLICES, FAN_IN = 32, 64
 #: Gain beyond which a record is left out of the second training.
@@ -37,8 +37,7 @@ PUNCTUATION = ".,!?;:…\"'()[]–—“”„«»‹›-/*"
 LOST = "�"
 CONTROL = re.compile("[\x80-\x9f]")
 TOKEN = re.compile("[^ \t\n\r]+")
-#: Tokens with other than ASCII characters; the look-behind keeps the search linear in long ASCII tokens.
-FOREIGN = re.compile("(?<![^ \t\n\r])[\x00-\x08\x0b\x0c\x0e-\x1f\x21-\x7f]*+[^\x00-\x7f][^ \t\n\r]*")
+FOREIGN = re.compile("[^\x00-\x7f]")
 MARKUP = re.compile("<[^<>]*>")
 RUN = re.compile("[^\x00-\x7f]+")
 
@@ -66,6 +65,20 @@ def core(form: str) -> str:
     return word.replace("\xa0", " ").lower()
 
 
+class Remembered(dict):
+    """What ``made`` returns for each key, kept for the keys asked for; beyond REMEMBERED keys all are forgotten."""
+
+    def __init__(self, made: Callable):
+        super().__init__()
+        self.made = made
+
+    def __missing__(self, key):
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[key] = value = self.made(key)
+        return value
+
+
 def to_bytes(text: str, name: str) -> bytes | None:
     back = _tables(name)[0]
     try:
@@ -90,7 +103,26 @@ UNPROVEN = "iso8859_5"
 LOST_READ = re.compile("|".join(sorted({re.escape(misread(LOST, "utf-8", n)) for n in READ_AS if n != UNPROVEN})))
 
 _TWO = re.compile("[^\x00-\x7f]{2}")
-_SEQUENCE = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+#: Bytes of UTF-8 sequences: leading ones of two, three and four bytes, and following ones.
+_LEADING, _FOLLOWING = [(0xC2, 0xDF, 1), (0xE0, 0xEF, 2), (0xF0, 0xF4, 3)], (0x80, 0xBF)
+
+
+@lru_cache(maxsize=None)
+def _sequence_of(name: str) -> re.Pattern:
+    """The UTF-8 sequences as they look when read in an encoding."""
+    back = _tables(name)[0]
+    among = lambda low, high: "[" + "".join(re.escape(c) for c, b in back.items() if low <= b <= high) + "]"
+    return re.compile("|".join(f"{among(low, high)}{among(*_FOLLOWING)}{{{n}}}" for low, high, n in _LEADING))
+
+
+def _sequences(text: str, name: str) -> Iterator[tuple[int, int, str]]:
+    """Begin, end and character of each UTF-8 sequence of a text read in an encoding."""
+    back = _tables(name)[0]
+    for m in _sequence_of(name).finditer(text):
+        try:
+            yield m.start(), m.end(), bytes(back[c] for c in m.group()).decode("utf-8")
+        except UnicodeDecodeError:
+            pass
 
 
 def _undo_utf8(text: str) -> dict[str, str]:
@@ -102,16 +134,10 @@ def _undo_utf8(text: str) -> dict[str, str]:
     if not _TWO.search(text):
         return out
     for name in READ_AS:
-        back = _tables(name)[0]
-        raw = "".join(chr(back.get(c, 0)) if ord(c) > 127 else "\0" for c in text)
         y, at = [], 0
-        for m in _SEQUENCE.finditer(raw):
-            try:
-                char = m.group().encode("latin-1").decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            y += [text[at : m.start()], char]
-            at = m.end()
+        for begin, end, char in _sequences(text, name):
+            y += [text[at:begin], char]
+            at = end
         if at:
             out.setdefault("".join([*y, text[at:]]), name)
     out.pop(text, None)
@@ -127,18 +153,12 @@ def _sequence_interiors(run: str) -> set[int]:
         onward: dict[str, list[int]] = {}
         for text, begins in frontier.items():
             for name in READ_AS:
-                back = _tables(name)[0]
-                raw = "".join(chr(back.get(c, 0)) if ord(c) > 127 else "\0" for c in text)
                 y, at, kept = [], 0, []
-                for m in _SEQUENCE.finditer(raw):
-                    try:
-                        char = m.group().encode("latin-1").decode("utf-8")
-                    except UnicodeDecodeError:
-                        continue
-                    inside.update(range(begins[m.start()] + 1, begins[m.end()]))
-                    y += [text[at : m.start()], char]
-                    kept += begins[at : m.start() + 1]
-                    at = m.end()
+                for begin, end, char in _sequences(text, name):
+                    inside.update(range(begins[begin] + 1, begins[end]))
+                    y += [text[at:begin], char]
+                    kept += begins[at : begin + 1]
+                    at = end
                 decoded = "".join([*y, text[at:]])
                 if at and decoded not in seen:
                     seen.add(decoded)
@@ -181,13 +201,20 @@ def _rereadings(chars: str) -> list[tuple[dict[int, str], list[str]]]:
     return [({ord(c): y for c, y in zip(chars, made)}, chains) for made, chains in found.items() if not CONTROL.search("".join(made))]
 
 
+def _reread(text: str, made: dict[int, str]) -> str:
+    if len(made) > 1:
+        return text.translate(made)
+    ((c, y),) = made.items()
+    return text.replace(chr(c), y)
+
+
 def _foreign(text: str) -> str:
     return "".join(sorted({c for c in text if c > "\x7f"}))
 
 
 def _undo_other(text: str) -> dict[str, str]:
     """The texts that pairs of single-byte encodings make of ``text``, each with one of its chains."""
-    out = {text.translate(made): chains[0] for made, chains in _rereadings(_foreign(text)) if not CONTROL.search(text)}
+    out = {_reread(text, made): chains[0] for made, chains in _rereadings(_foreign(text)) if not CONTROL.search(text)}
     out.pop(text, None)
     return out
 
@@ -245,6 +272,9 @@ def _run_reads(run: str) -> bool:
     return False
 
 
+CORES = Remembered(core)
+
+
 def _buckets(gram: str) -> tuple[int, int]:
     h = xxhash.xxh64_intdigest(gram)
     return h % BUCKETS, BUCKETS + (h >> 32) % BUCKETS
@@ -262,8 +292,10 @@ class Model:
     margin: float = 0.0
 
     def __post_init__(self):
-        self._seen: dict[str, float] = {}
-        self._steps: dict[str, float] = {}
+        self._seen = Remembered(self._count)
+        self._steps = Remembered(self._step)
+        #: whether clean records have a character
+        self._known = Remembered(lambda c: c.isascii() or self._seen[c] > 0)
 
     def __getstate__(self) -> dict:
         return {"counts": self.counts, "total": self.total, "margin": self.margin}
@@ -272,46 +304,38 @@ class Model:
         self.__dict__.update(state)
         self.__post_init__()
 
+    def _count(self, gram: str) -> float:
+        a, b = _buckets(gram)
+        return max(0.0, float(min(self.counts[a], self.counts[b])) - 1.0)
+
     def _n(self, gram: str) -> float:
-        n = self._seen.get(gram)
-        if n is None:
-            if len(self._seen) > REMEMBERED:
-                self._seen.clear()
-            a, b = _buckets(gram)
-            n = self._seen[gram] = max(0.0, float(min(self.counts[a], self.counts[b])) - 1.0)
-        return n
+        return self._seen[gram]
 
     def _step(self, gram: str) -> float:
         """Log-probability of the last character after the one or two before it."""
-        c, b = gram[-1], gram[-2]
-        p = (self._n(c) + 0.01) / (self.total + 1e4)
-        p = (self._n(b + c) + 4.0 * p) / (self._n(b) + 4.0)
+        seen, c, b = self._seen, gram[-1], gram[-2]
+        p = (seen[c] + 0.01) / (self.total + 1e4)
+        p = (seen[b + c] + 4.0 * p) / (seen[b] + 4.0)
         if len(gram) == 3:
-            p = (self._n(gram) + 4.0 * p) / (self._n(gram[:2]) + 4.0)
-        if len(self._steps) > REMEMBERED:
-            self._steps.clear()
-        p = self._steps[gram] = math.log(min(1.0, p))
-        return p
+            p = (seen[gram] + 4.0 * p) / (seen[gram[:2]] + 4.0)
+        return math.log(min(1.0, p))
 
     def log_probability(self, form: str) -> float:
-        s, steps = f" {core(form)} ", self._steps
-        out = 0.0
-        for i in range(1, len(s)):
-            gram = s[i - 2 : i + 1] if i > 1 else s[:2]
-            p = steps.get(gram)
-            out += self._step(gram) if p is None else p
-        return out
+        s, steps = f" {CORES[form]} ", self._steps
+        return steps[s[:2]] + sum([steps[s[i : i + 3]] for i in range(len(s) - 2)])
 
     def known(self, form: str) -> bool:
         """Whether clean records have all of the form's characters."""
-        return all(c.isascii() or self._n(c) > 0 for c in core(form))
+        return all(map(self._known.__getitem__, CORES[form]))
 
     def possible(self, y: str, chain: str) -> bool:
         """Whether clean records have all characters that ``y`` has, lost ones apart.
 
         After UTF-8 steps alone, an ordinary character of three bytes and more may be unseen: its sequence is evidence enough to weigh it.
         """
-        unseen = [c for c in core(y) if c != LOST and not c.isascii() and self._n(c) <= 0]
+        if self.known(y):
+            return True
+        unseen = [c for c in CORES[y] if c != LOST and not self._known[c]]
         return not unseen or (all(step.startswith("utf-8>") for step in chain.split()) and all(ord(c) >= 0x800 and ORDINARY.fullmatch(c) for c in unseen))
 
     def best(self, form: str) -> tuple[str, float, str]:
@@ -352,9 +376,9 @@ def gram_counts(records: Iterator[pd.DataFrame], doubtful: Model | None = None)
     for pdf in records:
         for text, held in zip(pdf.text, pdf.held):
             if text and is_clean(text) and (restorer is None or restorer.garbled(text)):
-                forms[held].update({core(f) for f in TOKEN.findall(text)})
+                forms[held].update(set(map(CORES.__getitem__, TOKEN.findall(text))))
         for held in (0, 1):
-            if len(forms[held]) > REMEMBERED // 4:
+            if len(forms[held]) > REMEMBERED:
                 _add_grams(forms[held], counts[held])
                 forms[held].clear()
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
@@ -469,22 +493,16 @@ class Restorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.judged: dict[str, tuple[str, float, float]] = {}
+        self.judged = Remembered(self._judge)
         self.other = lru_cache(maxsize=20_000)(self._other)
 
-    def judge(self, form: str) -> tuple[str, float, float]:
+    def _judge(self, form: str) -> tuple[str, float, float]:
         """The best text by UTF-8 chains, its gain, and the most that a single-byte chain gains by this form."""
-        got = self.judged.get(form)
-        if got is None:
-            if len(self.judged) > REMEMBERED // 4:
-                self.judged.clear()
-            y, gain, _ = self.model.best(form) if _TWO.search(form) else (form, -math.inf, "")
-            most = max([0.0, *(gain for _, gain in self._rescored(form)[1])])
-            got = self.judged[form] = (y, gain, most)
-        return got
+        y, gain, _ = self.model.best(form) if _TWO.search(form) else (form, -math.inf, "")
+        return y, gain, max([0.0, *(gain for _, gain in self._rescored(form)[1])])
 
     def utf8(self, form: str) -> tuple[str, float]:
-        return self.judge(form)[:2]
+        return self.judged[form][:2]
 
     def _rescored(self, form: str) -> tuple[list[tuple[str, list[str]]], list[tuple[str, float]]]:
         """What single-byte misreadings would have made this form of: (text, chains) and (text, gain without the step's cost), in one order."""
@@ -496,7 +514,7 @@ class Restorer:
         had = None
         chains, gains = [], []
         for made, names in _rereadings(_foreign(word)):
-            y = word.translate(made)
+            y = _reread(word, made)
             if y == word:
                 gain = 0.0
             elif not self.model.known(y):
@@ -505,8 +523,8 @@ class Restorer:
                 gain = self.model.log_probability(y) - own
                 if gain > 0:
                     # too little to tell: a letter or none, or letters that would become signs
-                    had = sum(c.isalpha() for c in core(word)) if had is None else had
-                    has = sum(c.isalpha() for c in core(y))
+                    had = sum(map(str.isalpha, CORES[word])) if had is None else had
+                    has = sum(map(str.isalpha, CORES[y]))
                     if not ((had >= 2 or has >= 4) and 2 * has >= had):
                         gain = 0.0
             whole = form[:at] + y + form[at + len(word) :]
@@ -600,22 +618,23 @@ class Restorer:
 
     def _forms(self, text: str) -> list[tuple[int, int, str]]:
         """The forms with other than ASCII characters and where they lie; long ones as pieces, each of a run with its surroundings."""
-        out = []
-        for m in FOREIGN.finditer(text):
-            if m.end() - m.start() <= 400:
-                out.append((m.start(), m.end(), m.group()))
-            else:
-                out += [(m.start() + a, m.start() + b, m.group()[a:b]) for a, b in _pieces(m.group())]
+        plain = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        out, end = [], 0
+        while m := FOREIGN.search(plain, end):
+            begin, end = plain.rfind(" ", end, m.start()) + 1 or end, plain.find(" ", m.end())
+            end = len(plain) if end < 0 else end
+            form = text[begin:end]
+            out += [(begin, end, form)] if len(form) <= 400 else [(begin + a, begin + b, form[a:b]) for a, b in _pieces(form)]
         return out
 
     def _stretches_may_gain(self, forms: list[str], floor: float) -> bool:
         """Whether the forms' single-byte gains suffice for any stretch to gain more than ``floor``; a form counts once."""
-        return sum(self.judge(f)[2] for f in set(forms)) + STEP_OTHER > floor
+        return sum(self.judged[f][2] for f in set(forms)) + STEP_OTHER > floor
 
     def gain(self, text: str, floor: float = -math.inf) -> float:
         """The gain of the text's most garbled stretch; one of at most ``floor`` need not be exact."""
         forms = [f for _, _, f in self._forms(text)]
-        gain = max([-math.inf, *(self.judge(f)[1] for f in forms)])
+        gain = max([-math.inf, *(self.judged[f][1] for f in forms)])
         return max(gain, self.stretch(forms)[0]) if self._stretches_may_gain(forms, floor) else gain
 
     def garbled(self, text: str) -> bool:
