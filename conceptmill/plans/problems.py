@@ -38,13 +38,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def is_a_links(spark: SparkSession, d: str) -> DataFrame:
     """(source_id, destination_id) of the newest states that are active inferred is-a rows.
 
-    The newest state of an id is one aggregation; a NULL date is older than any other, and of different
-    states of one date an active link holds.
+    The newest state of an id is one hash aggregation by one number: its date, then whether it is a link, then a hash
+    of its ends, so that of different links of one date one holds, always the same. A NULL date is older than any other.
     """
     rows = table(spark, d, "sct_relationship")
     is_link = (F.col("active") == 1) & (F.col("type_id") == IS_A) & (F.col("characteristic_type_id") == INFERRED)
-    newest = rows.groupBy("id").agg(F.max(F.struct(F.coalesce("effective_time", F.lit(0)).alias("t"), F.coalesce(is_link, F.lit(False)).alias("link"), "source_id", "destination_id")).alias("s"))
-    return newest.filter("s.link").select("s.source_id", "s.destination_id")
+    link = F.coalesce(is_link, F.lit(False)).cast("long")
+    rank = (F.coalesce("effective_time", F.lit(0)).cast("long") * 2 + link) * F.lit(1 << 34) + F.pmod(F.xxhash64("source_id", "destination_id"), F.lit(1 << 33)) * 2 + link
+    ranked = rows.select("id", "source_id", "destination_id", rank.alias("rank"))
+    newest = ranked.groupBy("id").agg(F.max("rank").alias("rank"), F.max_by("source_id", "rank").alias("source_id"), F.max_by("destination_id", "rank").alias("destination_id"))
+    return newest.filter("rank % 2 = 1").select("source_id", "destination_id")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

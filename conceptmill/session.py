@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with more than this share of the left rows is joined apart, so at most HOT_KEYS keys are.
@@ -61,13 +62,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 _runs: dict[str, str] = {}
 
 
-def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+def cut(df: DataFrame, instead_of: DataFrame | None = None, told: dict[str, Column] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it from there.
 
     This cuts the lineage like a checkpoint, survives lost executors, and gives the planner
     true sizes: a checkpoint keeps size estimates that square with every self-join of a loop.
     ``instead_of`` is an earlier cut that nothing reads any more; its files are deleted. The
-    rest goes when the interpreter ends.
+    rest goes when the interpreter ends. Aggregates in ``told`` are worked out while the table is
+    written, without a further job; :func:`told` has them.
     """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
@@ -75,14 +77,20 @@ def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
         _runs[app] = f"{_shared_folder(spark)}/conceptmill-{app}"
         atexit.register(_delete, spark, _runs[app])
     path = f"{_runs[app]}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation() if told else None
+    (df.observe(seen, *[c.alias(n) for n, c in told.items()]) if told else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
+    out._cut_path, out._told = path, seen.get if told else {}
     if instead_of is not None and getattr(instead_of, "_cut_path", None):
         _delete(spark, instead_of._cut_path)
     return out
 
 
+def told(table: DataFrame, name: str) -> int:
+    """What :func:`cut` worked out while it wrote the table; 0 for a sum over no rows."""
+    return table._told.get(name) or 0
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -111,16 +119,22 @@ def hot_keys(df: DataFrame, key: str, total: int | None = None) -> list:
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", total: int | None = None) -> DataFrame:
-    """Equi-join with a right side unique by ``key``, hot left keys apart.
+    """Equi-join with a right side unique by ``key``, hot left keys and NULL ones apart.
 
+    NULL keys match nothing, so those rows go around the join rather than into one of its tasks.
     The hot keys, at most HOT_KEYS by their definition, have at most that many right rows,
     which are broadcast; all other rows take the ordinary shuffle join.
     """
-    hot = hot_keys(left, key, total)
-    if not hot:
-        return left.join(right, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return left.filter(~is_hot).join(right.filter(~is_hot), key, how).unionByName(left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how))
+    further = [c for c in right.columns if c != key]
+    rest = left.filter(F.col(key).isNotNull())
+    hot = hot_keys(rest, key, total)
+    is_hot = F.col(key).isin(hot)
+    parts = [(rest.filter(~is_hot) if hot else rest).join(right.filter(~is_hot) if hot else right, key, how)]
+    if hot:
+        parts.append(rest.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how))
+    if how == "left" and left.schema[key].nullable:
+        parts.append(left.filter(F.col(key).isNull()).select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in further]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def state_hash(*columns: str) -> Column:
