@@ -126,7 +126,7 @@ def p4_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
-    """(key, at, in_table, delivery_id, record_key, field_name, reasons) of all referring rows; copies removed before any join."""
+    """(key, at, in_table, delivery_id, record_key, field_name) of all referring rows, copies included."""
     manifest = table(spark, d, "edition_manifest").select("delivery_id", F.col("release_date").alias("at")).filter(F.col("at").isNotNull())
     shape = lambda df, name, record, field, key: df.select(F.lit(name).alias("in_table"), "delivery_id", record.alias("record_key"), F.lit(field).alias("field_name"), key.alias("key"))
     association = table(spark, d, "historical_association").filter("active = 1").select("delivery_id", "id", "referenced_component_id", "target_component_id")
@@ -138,14 +138,14 @@ def _references(spark: SparkSession, d: str) -> DataFrame:
     declared = table(spark, d, "member_manifest")
     declared = shape(declared, "member_manifest", F.col("refset_id").cast("string"), "refset_id", F.col("refset_id"))
     rows = ends.unionByName(identifiers).unionByName(declared).filter(F.col("key").isNotNull())
-    return lookup_join(rows.distinct(), manifest, ["delivery_id"])
+    return lookup_join(rows, manifest, ["delivery_id"])
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     states = table(spark, d, "sct_concept").select("id", "effective_time", "active").unionByName(table(spark, d, "metadata_concept").select("id", "effective_time", "active"))
-    found = find_orphans(cut(_references(spark, d)), states, "id", "effective_time", "active")
+    found = find_orphans(_references(spark, d), states, "id", "effective_time", "active")
     # an association's own end may well be retired: that is what it records
-    return found.filter(~((F.col("field_name") == "referenced_component_id") & (F.col("reason") == "deleted")))
+    return found.filter(~((F.col("field_name") == "referenced_component_id") & (F.col("reason") == "deleted"))).distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
