@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, lookup_join
+from ..session import cut, lookup_join, told
 from .hierarchy import last_of_series
 
 #: The standard names of the first six header columns, by position.
@@ -17,6 +17,8 @@ STANDARD = ["id", "effectiveTime", "active", "moduleId", "refsetId", "referenced
 REGISTERS = 16
 #: Characters of all header columns that may be broadcast.
 HEADER_CHARS = 16_000_000
+#: Candidate edges that may be broadcast, by number.
+EDGES = 500_000
 TYPES = ["integer", "decimal", "boolean", "text"]
 
 
@@ -55,6 +57,16 @@ def _strip(c):
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def _cells(lines: DataFrame) -> DataFrame:
+    """(file, member, cells) of the lines that hold anything."""
+    cells = lines.filter(F.col("line").isNotNull()).select("file", F.split("line", "\t").alias("cells"))
+    return cells.withColumn("member", _strip(F.get("cells", F.lit(0)))).filter((F.col("member") != "") | (F.size("cells") > 1))
+
+
+def _value(position) -> Column:
+    return _strip(F.coalesce(F.get("cells", position), F.lit("")))
+
+
 def long_values(lines: DataFrame, columns: DataFrame) -> DataFrame:
     """(file, name, member, value), distinct. ``lines`` has (file, line): tab-separated, unparsed.
 
@@ -62,10 +74,9 @@ def long_values(lines: DataFrame, columns: DataFrame) -> DataFrame:
     """
     fields = columns.groupBy("file").agg(F.collect_list(F.struct("position", "name")).alias("fields"))
     chars = columns.agg(F.coalesce(F.sum(F.length("name") + 16), F.lit(0)).alias("n")).first()["n"]
-    cells = lines.filter(F.col("line").isNotNull()).select("file", F.split("line", "\t").alias("cells")).withColumn("member", _strip(F.get("cells", F.lit(0)))).filter((F.col("member") != "") | (F.size("cells") > 1))
-    joined = lookup_join(cells, fields, ["file"], max_rows=0 if chars > HEADER_CHARS else 200_000)
+    joined = lookup_join(_cells(lines), fields, ["file"], max_rows=0 if chars > HEADER_CHARS else 200_000)
     each = joined.select("file", "member", "cells", F.explode("fields").alias("f"))
-    return each.select("file", F.col("f.name").alias("name"), "member", _strip(F.coalesce(F.get("cells", F.col("f.position")), F.lit(""))).alias("value"))
+    return each.select("file", F.col("f.name").alias("name"), "member", _value(F.col("f.position")).alias("value"))
 
 
 def profile(values: DataFrame) -> DataFrame:
@@ -73,17 +84,19 @@ def profile(values: DataFrame) -> DataFrame:
 
     Register j of the sketch holds the value hash of the least member hash among the members of
     register j. As members choose the register, the sketches of two columns hold values of
-    the same members wherever the files share them: a differing value under an equal member disproves equality.
+    the same members wherever the files share them: a differing value under an equal member disproves equality. A member
+    with several values is no proof of a rename, so any of them may stand in the sketch; the buffers are numbers, for a hash aggregation.
     """
     hm, hv = F.xxhash64("member"), F.xxhash64("value")
     v = F.col("value")
     some = v != ""
+    least = [F.min(hm).alias("m"), F.min_by(hv, hm).alias("v")]
     fits = [v.rlike(r"^[+-]?[0-9]+$"), v.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$"), v.rlike("^(?i)(true|false)$")]
     by_register = values.groupBy("file", "name", F.pmod(hm, F.lit(REGISTERS)).cast("int").alias("register")).agg(
-        F.min(F.struct(hm.alias("m"), hv.alias("v"), some.alias("some"))).alias("least"), *[F.min(F.when(some, fit.cast("int"))).alias(t) for t, fit in zip(TYPES, fits)]
+        *least, *[F.min(F.when(some, fit.cast("int"))).alias(t) for t, fit in zip(TYPES, fits)]
     )
     kind = F.when(F.col("integer") == 1, "integer").when(F.col("decimal") == 1, "decimal").when(F.col("boolean") == 1, "boolean").when(F.col("integer").isNotNull(), "text")
-    return by_register.groupBy("file", "name").agg(F.map_from_entries(F.collect_list(F.struct("register", "least"))).alias("sketch"), *[F.min(t).alias(t) for t in TYPES[:3]]).select("file", "name", "sketch", kind.alias("type"))
+    return by_register.groupBy("file", "name").agg(F.map_from_entries(F.collect_list(F.struct("register", F.struct("m", "v")))).alias("sketch"), *[F.min(t).alias(t) for t in TYPES[:3]]).select("file", "name", "sketch", kind.alias("type"))
 
 
 def name_similarity(a, b):
@@ -126,7 +139,7 @@ def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[[(o, n) in chosen for o, n in zip(pdf.old_name, pdf.name)]][["file", "previous", "name", "old_name"]]
 
 
-def match_columns(columns: DataFrame, steps: DataFrame, profiles: DataFrame, values: DataFrame) -> DataFrame:
+def match_columns(columns: DataFrame, steps: DataFrame, profiles: DataFrame, lines: DataFrame) -> DataFrame:
     """(file, previous, name, old_name): renamed fields of consecutive files.
 
     Nodes are the names only in the earlier and only in the later header. An edge needs agreeing
@@ -144,19 +157,17 @@ def match_columns(columns: DataFrame, steps: DataFrame, profiles: DataFrame, val
     both = F.filter(F.map_keys("sketch"), lambda r: F.try_element_at("old_sketch", r)["m"] == F.try_element_at("sketch", r)["m"])
     sketched = sketched.withColumn("shared", both).withColumn("conflicts", F.exists("shared", lambda r: F.try_element_at("old_sketch", r)["v"] != F.try_element_at("sketch", r)["v"])).filter(~F.col("conflicts"))
     weight = 1 + name_similarity(F.col("name"), F.col("old_name")) + F.when(F.col("type") == F.col("old_type"), 0.5).otherwise(0.0) + F.size("shared") / F.lit(4 * REGISTERS)
-    candidates = cut(sketched.select("file", "previous", "name", "old_name", weight.alias("weight")))
-    edge = F.struct("file", "previous", "name", "old_name").alias("edge")
-    # each candidate is bounded by header widths, so a column has few; the values come tagged by side
-    on_new = candidates.groupBy("file", "name").agg(F.collect_list(edge).alias("edges"))
-    on_old = candidates.groupBy(F.col("previous").alias("file"), F.col("old_name").alias("name")).agg(F.collect_list(edge).alias("edges"))
-    tagged = on_new.withColumn("is_new", F.lit(True)).unionByName(on_old.withColumn("is_new", F.lit(False)))
-    tagged = tagged.groupBy("file", "name").agg(F.collect_list(F.struct("is_new", "edges")).alias("sides"))
-    sent = lookup_join(values, tagged, ["file", "name"]).select("member", "value", F.explode("sides").alias("s")).select("member", "value", F.col("s.is_new").alias("is_new"), F.explode("s.edges").alias("edge"))
+    candidates = cut(sketched.select("file", "previous", "name", "old_name", weight.alias("weight"), F.monotonically_increasing_id().alias("edge")), told={"n": F.count(F.lit(1))})
+    # only the columns with candidates are read again, each value tagged with its edges by number and side; each side of an edge is some 16 bytes
+    sides = candidates.select("file", "name", F.lit(True).alias("is_new"), "edge").unionByName(candidates.select(F.col("previous").alias("file"), F.col("old_name").alias("name"), F.lit(False).alias("is_new"), "edge"))
+    asked = sides.join(columns, ["file", "name"]).groupBy("file").agg(F.collect_list(F.struct("position", "is_new", "edge")).alias("fields"))
+    tagged = lookup_join(_cells(lines), asked, ["file"], max_rows=0 if told(candidates, "n") > EDGES else 200_000)
+    sent = tagged.select("member", "cells", F.explode("fields").alias("f")).select("member", "f.is_new", "f.edge", _value(F.col("f.position")).alias("value"))
     new, old = F.when(F.col("is_new"), F.col("value")), F.when(~F.col("is_new"), F.col("value"))
     per_member = sent.groupBy("edge", "member").agg(F.min(new).alias("n0"), F.max(new).alias("n1"), F.min(old).alias("o0"), F.max(old).alias("o1")).filter(F.col("n0").isNotNull() & F.col("o0").isNotNull())
     same = (F.col("n0") == F.col("n1")) & (F.col("o0") == F.col("o1")) & (F.col("n0") == F.col("o0"))
-    proven = per_member.groupBy("edge").agg(F.min(same.cast("int")).alias("same"), F.max((F.col("n0") != "").cast("int")).alias("some")).filter((F.col("same") == 1) & (F.col("some") == 1)).select("edge.*")
-    weighted = proven.join(candidates, ["file", "previous", "name", "old_name"])
+    proven = per_member.groupBy("edge").agg(F.min(same.cast("int")).alias("same"), F.max((F.col("n0") != "").cast("int")).alias("some")).filter((F.col("same") == 1) & (F.col("some") == 1)).select("edge")
+    weighted = candidates.join(proven, "edge", "left_semi").drop("edge")
     return weighted.groupBy("file").applyInPandas(_assign, weighted.select("file", "previous", "name", "old_name").schema)
 
 
@@ -176,7 +187,7 @@ def find_drift(files: DataFrame, lines: DataFrame) -> Drift:
     steps = cut(files.select("file", F.lag("file").over(w).alias("previous")))
     values = long_values(lines, columns)
     profiles = cut(profile(values))
-    matches = cut(match_columns(columns, steps, profiles, values))
+    matches = cut(match_columns(columns, steps, profiles, lines))
     pairs = steps.filter(F.col("previous").isNotNull())
     new = pairs.join(columns.select("file", "name"), "file")
     old = pairs.join(columns.select(F.col("file").alias("previous"), "name"), "previous")
