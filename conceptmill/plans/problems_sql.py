@@ -35,6 +35,47 @@ orphans AS (
   SELECT d.*, j.reason FROM dated d JOIN judged j USING (key, as_of)
   WHERE j.reason IS NOT NULL AND NOT (d.field_name = 'referenced_component_id' AND j.reason = 'deleted'))"""
 
+DRIFT = r"""
+cells AS (
+  SELECT file_id, pos, CASE WHEN pos = 1 THEN regexp_replace(written, '^' || chr(65279), '') ELSE written END AS written
+  FROM (SELECT file_id, unnest(header_columns) AS written, generate_subscripts(header_columns, 1) AS pos FROM refset_file)),
+own AS (SELECT file_id, lower(regexp_replace(written, '\s', '', 'g')) AS name, min(pos) AS pos FROM cells WHERE pos > 6 GROUP BY 1, 2),
+steps AS (SELECT file_id, lag(file_id) OVER (PARTITION BY refset_id ORDER BY release_date, file_id) AS previous FROM refset_file),
+split AS (SELECT DISTINCT file_id, string_split(line, chr(9)) AS c FROM refset_raw_row WHERE trim(line, chr(9) || chr(10) || chr(13) || ' ') <> ''),
+vals AS (
+  SELECT DISTINCT s.file_id, o.name, trim(s.c[1], chr(10) || chr(13) || ' ') AS member, coalesce(trim(s.c[o.pos], chr(10) || chr(13) || ' '), '') AS value
+  FROM split s JOIN own o USING (file_id)),
+types AS (
+  SELECT file_id, name, CASE WHEN bool_and(regexp_full_match(value, '[+-]?[0-9]+')) THEN 'integer'
+    WHEN bool_and(regexp_full_match(value, '[+-]?[0-9]+(\.[0-9]+)?')) THEN 'decimal'
+    WHEN bool_and(lower(value) IN ('true', 'false')) THEN 'boolean' ELSE 'text' END AS type
+  FROM vals WHERE value <> '' GROUP BY 1, 2),
+pairs AS (SELECT * FROM steps WHERE previous IS NOT NULL),
+news AS (SELECT p.file_id, p.previous, o.name FROM pairs p JOIN own o USING (file_id)),
+olds AS (SELECT p.file_id, p.previous, o.name FROM pairs p JOIN own o ON o.file_id = p.previous),
+only_new AS (SELECT * FROM news n WHERE NOT EXISTS (SELECT 1 FROM olds o WHERE o.file_id = n.file_id AND o.name = n.name)),
+only_old AS (SELECT * FROM olds o WHERE NOT EXISTS (SELECT 1 FROM news n WHERE o.file_id = n.file_id AND o.name = n.name)),
+renamed AS (
+  SELECT n.file_id, n.previous, n.name, o.name AS old_name
+  FROM only_new n JOIN only_old o USING (file_id) JOIN vals a ON a.file_id = n.file_id AND a.name = n.name
+  JOIN vals b ON b.file_id = o.previous AND b.name = o.name AND b.member = a.member
+  GROUP BY ALL HAVING bool_and(a.value = b.value) AND bool_or(a.value <> '')),
+matched AS (
+  SELECT file_id, previous, name, old_name FROM renamed
+  UNION ALL SELECT n.file_id, n.previous, n.name, n.name FROM news n JOIN olds o USING (file_id, name))"""
+
+#: The consistent name of every own column: its name in the last file of its line of matches, with that file's number where two lines of one file would share it.
+LINEAGE = f"""{DRIFT},
+walk AS (
+  SELECT file_id AS f0, name AS n0, file_id AS f, name AS n FROM own
+  UNION ALL SELECT w.f0, w.n0, m.file_id, m.name FROM walk w JOIN matched m ON m.previous = w.f AND m.old_name = w.n),
+ends AS (SELECT w.* FROM walk w WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.previous = w.f AND m.old_name = w.n)),
+shared AS (SELECT f0, n FROM ends GROUP BY 1, 2 HAVING count(*) > 1),
+clash AS (SELECT DISTINCT e.f, e.n FROM ends e JOIN shared s ON s.f0 = e.f0 AND s.n = e.n),
+named AS (
+  SELECT e.f0 AS file_id, e.n0 AS name, e.n || CASE WHEN c.f IS NULL THEN '' ELSE '#' || c.f END AS field
+  FROM ends e LEFT JOIN clash c ON c.f = e.f AND c.n = e.n)"""
+
 DISTINCT_MEMBERS = "SELECT DISTINCT delivery_id, refset_id, id FROM refset_member WHERE id IS NOT NULL"
 
 SQL = {
@@ -93,34 +134,8 @@ SELECT DISTINCT m.delivery_id, m.refset_id FROM member_manifest m LEFT JOIN c US
 WHERE m.n_rows IS NOT NULL AND m.n_rows <> coalesce(c.n, 0)""",
     "p3_members": f"SELECT delivery_id, refset_id, count(*) AS n_members FROM ({DISTINCT_MEMBERS}) GROUP BY 1, 2",
     "p3_refsets": "SELECT refset_id, count(DISTINCT id) AS n_members FROM refset_member GROUP BY 1",
-    "p4_found": r"""
-WITH cells AS (
-  SELECT file_id, pos, CASE WHEN pos = 1 THEN regexp_replace(written, '^' || chr(65279), '') ELSE written END AS written
-  FROM (SELECT file_id, unnest(header_columns) AS written, generate_subscripts(header_columns, 1) AS pos FROM refset_file)),
-own AS (SELECT file_id, lower(regexp_replace(written, '\s', '', 'g')) AS name, min(pos) AS pos FROM cells WHERE pos > 6 GROUP BY 1, 2),
-steps AS (SELECT file_id, lag(file_id) OVER (PARTITION BY refset_id ORDER BY release_date, file_id) AS previous FROM refset_file),
-split AS (SELECT DISTINCT file_id, string_split(line, chr(9)) AS c FROM refset_raw_row WHERE trim(line, chr(9) || chr(10) || chr(13) || ' ') <> ''),
-vals AS (
-  SELECT DISTINCT s.file_id, o.name, trim(s.c[1], chr(10) || chr(13) || ' ') AS member, coalesce(trim(s.c[o.pos], chr(10) || chr(13) || ' '), '') AS value
-  FROM split s JOIN own o USING (file_id)),
-types AS (
-  SELECT file_id, name, CASE WHEN bool_and(regexp_full_match(value, '[+-]?[0-9]+')) THEN 'integer'
-    WHEN bool_and(regexp_full_match(value, '[+-]?[0-9]+(\.[0-9]+)?')) THEN 'decimal'
-    WHEN bool_and(lower(value) IN ('true', 'false')) THEN 'boolean' ELSE 'text' END AS type
-  FROM vals WHERE value <> '' GROUP BY 1, 2),
-pairs AS (SELECT * FROM steps WHERE previous IS NOT NULL),
-news AS (SELECT p.file_id, p.previous, o.name FROM pairs p JOIN own o USING (file_id)),
-olds AS (SELECT p.file_id, p.previous, o.name FROM pairs p JOIN own o ON o.file_id = p.previous),
-only_new AS (SELECT * FROM news n WHERE NOT EXISTS (SELECT 1 FROM olds o WHERE o.file_id = n.file_id AND o.name = n.name)),
-only_old AS (SELECT * FROM olds o WHERE NOT EXISTS (SELECT 1 FROM news n WHERE o.file_id = n.file_id AND o.name = n.name)),
-renamed AS (
-  SELECT n.file_id, n.previous, n.name, o.name AS old_name
-  FROM only_new n JOIN only_old o USING (file_id) JOIN vals a ON a.file_id = n.file_id AND a.name = n.name
-  JOIN vals b ON b.file_id = o.previous AND b.name = o.name AND b.member = a.member
-  GROUP BY ALL HAVING bool_and(a.value = b.value) AND bool_or(a.value <> '')),
-matched AS (
-  SELECT file_id, previous, name, old_name FROM renamed
-  UNION ALL SELECT n.file_id, n.previous, n.name, n.name FROM news n JOIN olds o USING (file_id, name))
+    "p4_found": f"""
+WITH {DRIFT}
 SELECT file_id, 'repaired' AS change_kind, std AS field_name, written AS old_name
 FROM (SELECT *, ['id', 'effectiveTime', 'active', 'moduleId', 'refsetId', 'referencedComponentId'][pos] AS std FROM cells WHERE pos <= 6) WHERE written <> std
 UNION ALL SELECT file_id, 'renamed', name, old_name FROM renamed
@@ -128,6 +143,25 @@ UNION ALL SELECT file_id, 'added', name, '' FROM only_new n WHERE NOT EXISTS (SE
 UNION ALL SELECT file_id, 'removed', name, '' FROM only_old o WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_id = o.file_id AND r.old_name = o.name)
 UNION ALL SELECT m.file_id, 'retyped', m.name, '' FROM matched m JOIN types a ON a.file_id = m.file_id AND a.name = m.name
   JOIN types b ON b.file_id = m.previous AND b.name = m.old_name WHERE a.type <> b.type""",
+    "p4_rows": f"""
+WITH RECURSIVE {LINEAGE},
+lines AS (
+  SELECT file_id, line_no, string_split(line, chr(9)) AS c FROM refset_raw_row
+  WHERE trim(line, chr(9) || chr(10) || chr(13) || ' ') <> ''),
+told AS (
+  SELECT file_id, line_no, array_to_string(list_sort(list(field || '=' || coalesce(trim(c[pos], chr(10) || chr(13) || ' '), ''))), chr(9)) AS fields
+  FROM lines JOIN named USING (file_id) JOIN own USING (file_id, name) GROUP BY 1, 2)
+SELECT file_id, line_no, coalesce(trim(c[1], chr(10) || chr(13) || ' '), '') AS id, coalesce(trim(c[2], chr(10) || chr(13) || ' '), '') AS effectiveTime,
+  coalesce(trim(c[3], chr(10) || chr(13) || ' '), '') AS active, coalesce(trim(c[4], chr(10) || chr(13) || ' '), '') AS moduleId,
+  coalesce(trim(c[5], chr(10) || chr(13) || ' '), '') AS refsetId, coalesce(trim(c[6], chr(10) || chr(13) || ' '), '') AS referencedComponentId,
+  coalesce(fields, '') AS fields
+FROM lines LEFT JOIN told USING (file_id, line_no)""",
+    "p4_fields": f"""
+WITH RECURSIVE {LINEAGE},
+kinds AS (
+  SELECT f.refset_id, n.field, count(DISTINCT n.file_id) AS n_files, coalesce(list_sort(list(DISTINCT t.type) FILTER (t.type IS NOT NULL)), []) AS k
+  FROM named n JOIN refset_file f USING (file_id) LEFT JOIN types t USING (file_id, name) GROUP BY 1, 2)
+SELECT refset_id, field, CASE WHEN len(k) = 1 THEN k[1] WHEN k = ['decimal', 'integer'] THEN 'decimal' ELSE 'text' END AS type, n_files FROM kinds""",
     "p4_notes": r"""
 WITH cells AS (
   SELECT file_id, pos, CASE WHEN pos = 1 THEN regexp_replace(written, '^' || chr(65279), '') ELSE written END AS written
