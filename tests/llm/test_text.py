@@ -51,6 +51,24 @@ def test_suffix_array_order():
     assert list(order) == sorted(range(300), key=lambda i: tuple(text[i:]))
 
 
+def test_a_repeated_word_is_no_burden():
+    known = leakage.Items([("a", "na " * 200)], 13)
+    began = time.perf_counter()
+    found = leakage.shard_matches(["d", "e"], [["na"] * 40_000, ["x", *["na"] * 150, "y"]], known)
+    assert sorted(zip(found.id, found.item, found.n_words, found.place, found.item_place)) == [("d", "a", 200, 0, 0), ("e", "a", 150, 1, 0)]
+    assert time.perf_counter() - began < 2
+
+
+def test_item_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(20)) for _ in range(7)]
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(f"i{i}", t) for i, t in enumerate(texts)], "eval_id string, text string")
+    monkeypatch.setattr(leakage, "ITEM_CHARS", 60)
+    got = {(r.doc_id, r.eval_id, r.n_words) for r in leakage.find_leaks(docs, items).collect()}
+    assert got >= {(i, f"i{i}", 20) for i in range(7)}
+
+
 def test_leaks_across_shards_and_odd_rows(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(200)]
@@ -75,6 +93,33 @@ def test_found_leaks_equal_brute_force(spark):
             of.setdefault(g, set()).add(i)
     want = {(d, i) for d, t in zip(docs.doc_id, docs.text) for g in grams(leakage.words(t)) for i in of.get(g, ())}
     assert {tuple(r) for r in registered.p7_found(spark, SF).collect()} == want and want
+    runs = dict(zip(docs.doc_id, map(leakage.words, docs.text)))
+    asked = dict(zip(items.eval_id, map(leakage.words, items.text)))
+    longest = {}
+    for d, i in want:
+        n = 13
+        while n < len(asked[i]) and grams(runs[d], n + 1) & grams(asked[i], n + 1):
+            n += 1
+        longest[d, i] = n
+    matches = registered.p7_matches(spark, SF).collect()
+    assert {(r.doc_id, r.eval_id): r.n_words for r in matches} == longest
+    for r in matches:
+        assert runs[r.doc_id][r.place : r.place + r.n_words] == asked[r.eval_id][r.item_place : r.item_place + r.n_words]
+    assert {r.doc_id for r in registered.p7_kept(spark, SF).collect()} == set(docs.doc_id) - {d for d, _ in want}
+
+
+def test_encoding_queries(spark):
+    docs = pd.read_parquet(f"{SF}/documents.parquet").set_index("doc_id").text
+    restored = {r.doc_id: r.restored for r in registered.p8_restored(spark, SF).collect()}
+    assert {r.doc_id for r in registered.p8_found(spark, SF).collect()} == set(restored) and restored
+    for d, y in restored.items():
+        assert y != docs[d] or encoding.LOST in y or encoding.CONTROL.search(y)
+
+
+def test_container_queries(spark):
+    packed = registered.p6_containers(spark, SF).toPandas()
+    filled = {r.container: (r.n_pieces, r.n_tokens) for r in registered.p6_fill(spark, SF).collect()}
+    assert filled == {c: (len(g), g["size"].sum()) for c, g in packed.groupby("container")}
 
 
 # ---- encoding
@@ -154,6 +199,23 @@ def test_held_out_accuracy(spark, model):
     assert found >= 0.97 * n and right >= 0.9 * n, (found, right, n)
 
 
+def test_precision_and_every_single_byte_chain(spark, model):
+    """Recall over all texts of two and more foreign forms, whichever pair of encodings; precision over all that are clean by their form."""
+    texts = [t for t in pd.read_parquet(f"{SF}/documents.parquet").text if encoding.is_clean(t) and not t.isascii()]
+    restorer = encoding.Restorer(model)
+    flagged = sum(restorer.garbled(t) for t in texts)
+    assert flagged <= 0.03 * len(texts), flagged  # garbled ones that read single-byte by single-byte are among them
+    texts = [t for t in texts if not restorer.garbled(t) and len({f for f in t.split() if not f.isascii()}) >= 4][:40]
+    lost = {}
+    for written in encoding.READ_AS:
+        for read in encoding.READ_AS:
+            made = [(t, encoding.misread(t, written, read)) for t in texts if written != read and encoding.to_bytes(t, written)]
+            made = [(t, g) for t, g in made if g != t and not encoding.CONTROL.search(g)]
+            if made:
+                lost[written, read] = 1 - sum(restorer.text(g)[1] for _, g in made) / len(made)
+    assert len(lost) > 60 and np.mean(list(lost.values())) < 0.1, {k: v for k, v in lost.items() if v > 0.1}
+
+
 def test_restore_rows(spark, model):
     rows = [(1, None), (2, ""), (3, "so hübsch"), (4, "Ich wÃ¼rde es kaufen"), (4, "Ich wÃ¼rde es kaufen"), (5, "x " * 50_000 + "wÃ¼rde " + "ü" * 3000)]
     docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, restored string")
