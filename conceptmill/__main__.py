@@ -46,9 +46,10 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--display", action="store_true")
             p.add_argument("--count", action="store_true")
             p.add_argument("--offset", type=int, default=0)
-            p.add_argument("--limit", type=int, default=batches.DEFAULT_LIMIT)
+            p.add_argument("--limit", type=int)
         if name == "batch":
             p.add_argument("--workers", type=int, default=1)
+            p.add_argument("--seconds", type=float)
     a = parser.parse_args(argv)
     show = lambda x: print(json.dumps(x, ensure_ascii=False, default=str))
     if a.command == "inspect":
@@ -79,7 +80,7 @@ def main(argv: list[str] | None = None) -> int:
             for r in diff(a.ecl, engine(a.old), engine(a.new)).filter("change <> 'unchanged'").orderBy("concept_id").toLocalIterator():
                 print(f"{r['change']}\t{r['concept_id']}")
         elif a.command == "batch":
-            for line in batches.batch(engine(a.index), sys.stdin, a.workers):
+            for line in batches.batch(engine(a.index), sys.stdin, a.workers, a.seconds):
                 print(line, flush=True)
         else:
             request = {

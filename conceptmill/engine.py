@@ -17,17 +17,23 @@ from .functions import decimals, terms
 CONCEPT, COMPONENT, NUMBER, BOOLEAN, TIME, STRING = range(6)
 METADATA = {"effectivetime": ("effectiveTime", "time"), "active": ("active", "boolean"), "moduleid": ("moduleId", "id"), "referencedcomponentid": ("referencedComponentId", "id")}
 MAX_LONG = (1 << 63) - 1
+#: Ids that are written into a filter; more are joined.
+FEW = 256
 
 
 @dataclass
 class Result:
-    """``kind`` is concepts (concept_id), values (kind, text) or rows (one column per field)."""
+    """``kind`` is concepts (concept_id), values (kind, text) or rows (one column per field). Nothing is sorted before it is asked for."""
 
     kind: str
     df: DataFrame
+    #: rows with the columns of their order
+    sortable: DataFrame | None = None
 
     def ordered(self) -> DataFrame:
-        return self.df.orderBy("concept_id") if self.kind == "concepts" else self.df.orderBy("kind", "text") if self.kind == "values" else self.df
+        if self.kind == "rows":
+            return self.sortable.orderBy("_order_refset", "_order_referenced", "_order_row_no").select(self.df.columns)
+        return self.df.orderBy("concept_id") if self.kind == "concepts" else self.df.orderBy("kind", "text")
 
     def window(self, offset: int = 0, limit: int | None = None) -> DataFrame:
         df = self.ordered()
@@ -81,7 +87,8 @@ class Engine:
     def result(self, node: t.Node) -> Result:
         kind = self.kind(node)
         if kind == "rows":
-            return Result("rows", self.member_rows(node))
+            rows = self.member_rows(node)
+            return Result("rows", rows.drop("_order_refset", "_order_referenced", "_order_row_no"), rows)
         if kind == "concepts":
             return Result("concepts", self.set_of(node))
         values = self.values_of(node)
@@ -183,6 +190,13 @@ class Engine:
         chosen = self.set_of(node).select(F.col("concept_id").alias(column))
         return df.join(chosen, column, "left_anti" if anti else "left_semi")
 
+    def within(self, df: DataFrame, column: str, ids: list[int]) -> DataFrame:
+        """Rows whose ``column`` is one of ``ids``: a filter that reaches the scan while they are few, else a semi-join."""
+        if len(ids) <= FEW:
+            return df.filter(F.col(column).isin(ids))
+        chosen = self.spark.createDataFrame([(i,) for i in ids], f"{column} bigint")
+        return df.join(chosen, column, "left_semi")
+
     def hierarchy(self, op: str, of: t.Node) -> DataFrame:
         if op in ("!!>", "!!<"):
             inside = self.set_of(of)
@@ -409,12 +423,13 @@ class Engine:
                 raise t.InvalidField(f"no selected reference set has the field {n}")
             fields[n] = owners[0]
         kept = [r for r in selected if all(n in METADATA or n in schema[r] for n in needed)]
+        whole = len(kept) == len(schema)
         for f in node.filters:
             for kind in {METADATA[f.field.lower()][1]} if f.field.lower() in METADATA else {schema[r][f.field.lower()][1] for r in selected if f.field.lower() in schema[r]}:
                 allowed = {"concept": {"id"}, "number": {"integer", "number"}, "boolean": {"boolean"}, "active": {"boolean"}, "date": {"time"}, "text": {"text", "uuid"}, "dateortext": {"time", "text", "uuid"}}[f.kind]
                 if kind not in allowed:
                     raise t.TypeMismatch(f"{f.field} is of the type {kind}")
-        rows = self.c.member.filter(F.col("refset").isin(kept))
+        rows = self.c.member if whole else self.within(self.c.member, "refset", kept)
         if node.reverse:
             rows = self.keep(rows, "referenced", node.of)
         if not any(f.field.lower() == "active" for f in node.filters):
@@ -463,7 +478,7 @@ class Engine:
         fields, rows = self.member_table(node, names)
         shown = [fields[n.lower()] for n in names]
         cells = [F.coalesce(self.member_column(f), F.lit("")).alias(f[0]) for f in shown]
-        return rows.orderBy("refset", "referenced", "row_no").select(*cells)
+        return rows.select(*cells, *[F.col(c).alias(f"_order_{c}") for c in ("refset", "referenced", "row_no")])
 
     def member_values(self, node: t.Members) -> DataFrame:
         fields, rows = self.member_table(node, list(node.fields))
@@ -505,11 +520,24 @@ class Engine:
             self.check_associations(kinds)
         implied = kinds.filter(F.col("concept_id") == fixed.SAME_AS).select(F.lit(fixed.MOVED_FROM).cast("bigint").alias("concept_id"))
         kinds = kinds.filter(F.col("concept_id") != fixed.MOVED_TO).unionByName(implied).distinct().withColumnRenamed("concept_id", "refset")
-        rows = self.c.association.join(F.broadcast(kinds) if isinstance(node.profile, str) else kinds, "refset", "left_semi")
+        rows = self.c.association.select("refset", "source", "target").join(kinds, "refset", "left_semi")
+        if not isinstance(node.profile, str) and not isinstance(node.profile, t.Any):
+            rows = rows.unionByName(self.other_associations(kinds))
         back = rows.filter(F.col("refset") != fixed.MOVED_FROM).join(focus.withColumnRenamed("concept_id", "target"), "target", "left_semi").select(F.col("source").alias("concept_id"))
         moved = rows.filter(F.col("refset") == fixed.MOVED_FROM).join(focus.withColumnRenamed("concept_id", "source"), "source", "left_semi").select(F.col("target").alias("concept_id"))
         return focus.unionByName(back).unionByName(moved).distinct()
 
+    def other_associations(self, kinds: DataFrame) -> DataFrame:
+        """(refset, source, target) of chosen reference sets that are no association reference sets but have targets: their active member rows."""
+        names = sorted({fields["targetcomponentid"][0] for fields in self.c.schema_of.values() if "targetcomponentid" in fields})
+        if not names:
+            return self.c.association.select("refset", "source", "target").limit(0)
+        others = kinds.join(self.hierarchy("<", t.Concept(fixed.ASSOCIATIONS)).withColumnRenamed("concept_id", "refset"), "refset", "left_anti")
+        target = F.coalesce(*[F.try_element_at("fields", F.lit(n)) for n in names]).try_cast("bigint")
+        rows = self.c.member.filter("active").join(others, "refset", "left_semi").select("refset", F.col("referenced").alias("source"), target.alias("target"))
+        known = self.c.concept.select(F.col("concept_id").alias("source"))
+        return rows.filter(F.col("target").isNotNull()).join(known, "source", "left_semi")
+
     def check_associations(self, kinds: DataFrame) -> None:
         """A chosen reference set with a table but without targetComponentId cannot give history."""
         tables = self.c.member_schema.select("refset", "field").join(kinds.withColumnRenamed("concept_id", "refset"), "refset", "left_semi")
@@ -544,17 +572,20 @@ class Engine:
             found = hits.distinct() if found is None else found.join(hits, "concept_id", "left_semi")
         return found
 
-    def search(self, text: str, within: str | None = None, limit: int = 50, include_inactive: bool = False, pool: int = 400) -> DataFrame:
-        """(concept_id, display, active, score): the best of the ``pool`` shortest labels that match."""
+    def search_candidates(self, text: str, within: str | None = None, include_inactive: bool = False) -> DataFrame:
+        """(concept_id, display, active) of all concepts that match."""
         found = self.search_matches(text)
         if within is not None:
             found = found.join(self.concepts(within), "concept_id", "left_semi")
         labels = self.labelled(found)
-        if not include_inactive:
-            labels = labels.filter("active")
-        size = F.octet_length(F.coalesce("display", F.lit("")))
-        short = labels.withColumn("size", size).orderBy("size", "concept_id").limit(max(pool, limit))
-        return short.withColumn("score", search_score(fixed.folded(F.coalesce("display", F.lit(""))), text)).orderBy(F.col("score").desc(), "size", "concept_id").limit(limit).drop("size")
+        return labels if include_inactive else labels.filter("active")
+
+    def search(self, text: str, within: str | None = None, limit: int = 50, include_inactive: bool = False, pool: int = 400) -> DataFrame:
+        """(concept_id, display, active, score): the best of the ``pool`` shortest labels that match; concepts without a label come last."""
+        labels = self.search_candidates(text, within, include_inactive).withColumn("size", F.octet_length("display"))
+        short = labels.orderBy(F.col("size").asc_nulls_last(), "concept_id").limit(max(pool, limit))
+        score = F.when(F.col("display").isNull(), F.lit(LEAST_SCORE)).otherwise(search_score(F.col("display"), text))
+        return short.withColumn("score", score.cast("int")).orderBy(F.col("score").desc(), F.coalesce("size", F.lit(0)), "concept_id").limit(limit).drop("size")
 
     def lookup(self, concept: int) -> dict:
         """All that the edition says of one concept."""
@@ -612,22 +643,30 @@ def date_test(column: Column, op: str, dates: tuple) -> Column:
     return test | (column.isNull() if empty and op in ("<=", ">=") else F.lit(False))
 
 
-def search_score(label: Column, text: str) -> Column:
-    """Points for equality, prefix, whole words, words in their place and word prefixes, less for further words."""
-    import re
+# The points of a search result
+POINTS = {"equal": 1000, "begins": 200, "word": 60, "place": 20, "word_prefix": 25, "further_word": -3}
+LEAST_SCORE = -(1 << 31)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-    low = text.lower().translate(str.maketrans(fixed.FOLD_FROM, fixed.FOLD_TO)).strip()
-    asked = re.findall("[0-9a-z]+", low)
-    found = F.regexp_extract_all(label, F.lit("([0-9a-z]+)"), 1)
-    score = F.when(label == low, 1000).otherwise(0) + F.when(label.startswith(low), 200).otherwise(0)
 
-    def begun(w: str) -> Column:
-        return F.exists(found, lambda x: x.startswith(w))
+def search_score(label: Column, text: str) -> Column:
+    """Points for a label against what was asked.
+
+    Equality and prefix disregard the case of ASCII letters only; words are compared as the word index folds them. A whole word
+    counts more where its first place in the label is its place in the question.
+    """
+    import re
 
+    asked_text = text.strip().translate(str.maketrans(UPPER, LOWER))
+    asked = re.findall("[0-9a-z]+", text.lower().translate(str.maketrans(fixed.FOLD_FROM, fixed.FOLD_TO)))
+    plain = F.translate(label, UPPER, LOWER)
+    found = F.regexp_extract_all(fixed.folded(label), F.lit("([0-9a-z]+)"), 1)
+    score = F.when(plain == asked_text, POINTS["equal"]).otherwise(0) + F.when(plain.startswith(asked_text), POINTS["begins"]).otherwise(0)
     for i, w in enumerate(asked):
-        whole = F.array_contains(found, w)
-        score = score + F.when(whole, 60).when(begun(w), 25).otherwise(0) + F.when(F.get(found, F.lit(i)) == w, 20).otherwise(0)
-    return score - 3 * F.greatest(F.size(found) - len(asked), F.lit(0))
+        at = F.array_position(found, w)
+        begun = F.exists(found, lambda x: x.startswith(w))  # noqa: B023
+        score = score + F.when(at == i + 1, POINTS["word"] + POINTS["place"]).when(at > 0, POINTS["word"]).when(begun, POINTS["word_prefix"]).otherwise(0)
+    return score + POINTS["further_word"] * F.greatest(F.size(found) - len(asked), F.lit(0))
 
 
 def literals(node: t.Node) -> list[int] | None:

@@ -114,12 +114,12 @@ SQL = {name: sql for name, (_, sql) in EXPRESSIONS.items()} | {
     "search_ranked": f"""
 WITH hits AS ({PARTS_LIKE.replace("[^0-9a-z])bol", "[^0-9a-z])bolt")}),
 short AS (SELECT *, strlen(display) AS size FROM hits ORDER BY size, concept_id LIMIT 400),
-scored AS (SELECT *, regexp_extract_all(lower(display), '[0-9a-z]+') AS w FROM short),
+scored AS (SELECT *, regexp_extract_all(translate(lower(display), '{fixed.FOLD_FROM}', '{fixed.FOLD_TO}'), '[0-9a-z]+') AS w FROM short),
 points AS (
   SELECT concept_id, display, true AS active, size,
     CASE WHEN lower(display) = 'large bolt' THEN 1000 ELSE 0 END + CASE WHEN starts_with(lower(display), 'large bolt') THEN 200 ELSE 0 END
-    + CASE WHEN list_contains(w, 'large') THEN 60 WHEN len(list_filter(w, lambda x: starts_with(x, 'large'))) > 0 THEN 25 ELSE 0 END + CASE WHEN w[1] = 'large' THEN 20 ELSE 0 END
-    + CASE WHEN list_contains(w, 'bolt') THEN 60 WHEN len(list_filter(w, lambda x: starts_with(x, 'bolt'))) > 0 THEN 25 ELSE 0 END + CASE WHEN w[2] = 'bolt' THEN 20 ELSE 0 END
+    + CASE WHEN list_position(w, 'large') = 1 THEN 80 WHEN list_position(w, 'large') > 1 THEN 60 WHEN len(list_filter(w, lambda x: starts_with(x, 'large'))) > 0 THEN 25 ELSE 0 END
+    + CASE WHEN list_position(w, 'bolt') = 2 THEN 80 WHEN list_position(w, 'bolt') > 0 THEN 60 WHEN len(list_filter(w, lambda x: starts_with(x, 'bolt'))) > 0 THEN 25 ELSE 0 END
     - 3 * greatest(len(w) - 2, 0) AS score FROM scored)
 SELECT concept_id, display, active, score FROM points ORDER BY score DESC, size, concept_id LIMIT 20""",
     "search_within": f"""

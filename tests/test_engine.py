@@ -1,3 +1,5 @@
+import random
+import unicodedata
 from decimal import Decimal
 
 import pytest
@@ -5,290 +7,334 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from brute import Brute
 from conceptmill import batch, catalog as fixed
 from conceptmill.catalog import SCHEMAS, Catalog, Config, displays, load, save, verify
+from conceptmill.ecl import parse
 from conceptmill.ecl import tree as t
-from conceptmill.engine import Engine, diff
+from conceptmill.engine import Engine, diff, search_score
 from conceptmill.functions import decimals, terms
 from conceptmill.sources import sinks
-
-IS_A = fixed.IS_A
+from trees import Maker, Printer
 
 
 def make(spark, config=None, **tables):
     return Catalog(spark, {n: (lambda n=n, rows=rows: spark.createDataFrame(rows, SCHEMAS[n])) for n, rows in tables.items()}, config)
 
 
-def concepts(ids, inactive=(), defined=(), module=None, dates=None):
-    return [(i, module or min(ids), (dates or {}).get(i), i not in inactive, i in defined) for i in ids]
-
-
 def ids_of(engine, text):
     result = engine.evaluate(text)
     assert result.kind == "concepts", text
     return [r[0] for r in result.ordered().collect()]
 
 
-# ---- refinements
+# ---- random graphs against brute force
 
-
-N = lambda i: 1000000 + 1000 * i
+KINDS, SETS, PLACES = [61003000 + i * 1000 for i in range(3)], [62003000 + i * 1000 for i in range(3)], [63003000 + i * 1000 for i in range(2)]
+THINGS = [64003000 + i * 1000 for i in range(24)]
 
 
 @pytest.fixture(scope="module")
-def refined(spark):
-    rows = [(0, 1, 5, 8), (0, 1, 6, 9), (1, 1, 5, 8), (1, 2, 6, 9), (2, 0, 5, 8), (2, 0, 6, 9), (3, 1, 5, 8), (3, 2, 5, 8), (3, 2, 6, 10)]
-    literal = [(0, 1, "number", "0.10000000000000000001"), (1, 1, "number", "0.1"), (2, 0, "number", "-2"), (3, 2, "text", 'A"B'), (4, 0, "boolean", "true")]
-    return Engine(make(
+def graph(spark):
+    r = random.Random(11)
+    ids = [*KINDS, *SETS, *PLACES, *THINGS, fixed.IS_A]
+    concept = {c: (r.choice(PLACES), r.choice([None, 20200101, 20210101, 20220202]), c not in THINGS[-3:], r.random() < 0.3) for c in ids}
+    isa = sorted({(c, THINGS[r.randrange(max(1, i))]) for i, c in enumerate(THINGS[1:-3]) for _ in range(r.randint(0, 2))})
+    rows = sorted({(r.choice(THINGS[:-3]), r.randint(0, 3), r.choice(KINDS), r.choice(THINGS[:9])) for _ in range(90)})
+    numbers = sorted({(r.choice(THINGS[:-3]), r.randint(0, 3), r.choice(KINDS), r.choice(["0", "1.5", "-2", "3"])) for _ in range(30)})
+    members = [(r.choice(SETS), r.choice([None, 20210101, 20220202]), r.random() < 0.8, r.choice(PLACES), r.choice(THINGS)) for _ in range(60)]
+    engine = Engine(make(
         spark,
-        concept=concepts([N(i) for i in range(11)] + [IS_A]),
-        isa=[(N(9), N(8)), (N(10), N(9))],
-        relationship=[(N(s), g, N(k), N(v)) for s, g, k, v in rows],
-        concrete=[(N(s), g, N(7), k, c, decimals.key(c) if k == "number" else None) for s, g, k, c in literal],
+        concept=[(c, *v) for c, v in concept.items()],
+        isa=isa,
+        relationship=rows,
+        concrete=[(s, g, k, "number", v, decimals.key(v)) for s, g, k, v in numbers],
+        member=[(m[0], i, m[1], m[2], m[3], m[4], {"note": str(i)}) for i, m in enumerate(members)],
+        member_schema=[(s, 0, "note", "text") for s in SETS],
     ))
-
-
-@pytest.mark.parametrize(
-    "text,want",
-    [
-        ("* : 1005000 = 1008000, 1006000 = 1009000", [0, 1, 2]),
-        ("* : { 1005000 = 1008000, 1006000 = 1009000 }", [0]),
-        ("* : [2..2] { 1005000 = 1008000 }", [3]),
-        ("* : { [0..0] 1006000 = * }", [1, 3]),
-        ("* : { (1005000 = 1008000 OR 1006000 = 1010000), 1006000 = * }", [0, 3]),
-        ("* : [2..*] 1005000 = 1008000", [3]),
-        ("(1000000 OR 1004000) : [0..0] 1005000 = *", [4]),
-        ("* : 1006000 != 1009000", [3]),
-        ("* : [4..4] R 1005000 = *", [8]),
-        ("* : [5..5] R 1005000 = *", []),
-        ("* : R 1005000 != 1000000", [8]),
-        ("* : 116680003 = 1008000", [9]),
-        ("* : R 116680003 = 1010000", [9]),
-        ("* : [1..99999999999999999999] 1005000 = *", [0, 1, 2, 3]),
-        ("* : [99999999999999999999..*] 1005000 = *", []),
-        ("* : 1007000 > #0.1", [0]),
-        ("* : 1007000 = #+0.100", [1]),
-        ("* : 1007000 != #0.1", [0, 2]),
-        ("* : 1007000 < #-1.9990", [2]),
-        ('* : 1007000 != "A"', [3]),
-        ('* : 1007000 = ("other" "A\\"B")', [3]),
-        ("* : 1007000 = true", [4]),
-        ("1000000 . (1005000 OR 1006000)", [8, 9]),
-        ("1003000 . 1006000 . 116680003", [9]),
-        ("1004000 . 1005000", []),
-        ("* : R 1005000 = * OR { 1006000 = * }", [0, 1, 3, 8]),
-        ("!!> (1008000 OR 1009000 OR 1010000)", [8]),
-        ("!!< (1008000 OR 1009000 OR 1001000)", [1, 9]),
-        ("< (1008000 OR 1009000)", [9, 10]),
-        ("<! 1008000", [9]),
-        (">> 1010000", [8, 9, 10]),
-        ("<< 1005009", []),
-    ],
-)
-def test_refinements(refined, text, want):
-    assert ids_of(refined, text) == [N(i) for i in want]
-
-
-def test_typed_values(refined):
-    got = refined.evaluate("1000000 . (1005000 OR 1007000)")
-    assert got.kind == "values" and [tuple(r) for r in got.ordered().collect()] == [(0, "1008000"), (2, "0.10000000000000000001")]
-    for text in ("1000000 . 1007000 . *", "< (1000000 . 1007000)"):
-        with pytest.raises(t.TypeMismatch):
-            refined.evaluate(text).df.count()
-    assert sinks.json_lines(got).first()[0] == '{"type":"concept","value":"1008000"}'
-
-
-def test_constructed_trees_are_checked(refined):
+    return engine, Brute(concept, isa, rows, numbers, members)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_random_expressions_equal_brute_force(graph, seed):
+    engine, brute = graph
+    maker = Maker(random.Random(seed), THINGS + KINDS, [*KINDS, fixed.IS_A], SETS, PLACES)
+    made = {str(i): maker.expression(3) for i in range(8)}
+    got = {name: set() for name in made}
+    for row in engine.evaluate_many({n: Printer().text(x) for n, x in made.items()}).collect():
+        assert row.concept_id not in got[row.name], "twice"
+        got[row.name].add(row.concept_id)
+    for name, tree in made.items():
+        assert got[name] == brute.of(tree), Printer().text(tree)
+
+
+def test_huge_and_empty_bounds(graph):
+    engine, brute = graph
+    some = brute.of(parse(f"* : {KINDS[0]} = *"))
+    assert set(ids_of(engine, f"* : [1..{10**24}] {KINDS[0]} = *")) == some and ids_of(engine, f"* : [{10**24}..*] {KINDS[0]} = *") == []
+    assert ids_of(engine, f"<< {THINGS[0] + 9}") == [] and ids_of(engine, f"^ {THINGS[0]}") == []
+
+
+def test_dotted_chains_equal_brute_force(graph):
+    engine, brute = graph
+    for start in (f"<< {THINGS[0]}", f"{THINGS[1]} OR {THINGS[2]}"):
+        first = {r[3] for c in brute.of(parse(start)) for r in brute.all_rows(c) if r[2] == KINDS[0] and brute.concept[r[3]][2]}
+        then = {r[3] for c in first for r in brute.all_rows(c) if r[2] == fixed.IS_A and brute.concept[r[3]][2]}
+        assert engine.set_of(parse(f"({start}) . {fixed.IS_A}")).count() == len({p for c in brute.of(parse(start)) for p in brute.up[c]})
+        numbers = {r[3] for c in brute.of(parse(start)) for r in brute.all_numbers(c) if r[2] == KINDS[0]}
+        got = engine.evaluate(f"({start}) . {KINDS[0]}")
+        if numbers:
+            assert got.kind == "values" and {tuple(r) for r in got.df.collect()} == {(0, str(c)) for c in first} | {(2, n) for n in numbers}
+            with pytest.raises(t.TypeMismatch):
+                engine.evaluate(f"({start}) . {KINDS[0]} . {fixed.IS_A}").df.count()
+        else:
+            assert set(ids_of(engine, f"({start}) . {KINDS[0]} . {fixed.IS_A}")) == then
+
+
+def test_constructed_trees_are_checked(graph):
+    engine, _ = graph
     with pytest.raises(t.InvalidTree):
-        refined.evaluate(t.And((t.Any(),)))
+        engine.evaluate(t.And((t.Any(),)))
     with pytest.raises(t.ResultLimit):
-        refined.evaluate("*", max_results=3)
+        engine.evaluate("*", max_results=3)
     with pytest.raises(t.SemanticError):
-        refined.evaluate(t.Refined(t.Any(), t.Group(t.Attribute(t.Any(), "=", t.Any(), reverse=True)))).df.count()
-
+        engine.evaluate(t.Refined(t.Any(), t.Group(t.Attribute(t.Any(), "=", t.Any(), reverse=True)))).df.count()
 
-# ---- reference sets
 
+# ---- typed member rows: a tool shop
 
-REFSET, OTHER, TEXTS = 200001, 200002, 200003
-MEMBER_FIELDS = [("mapGroup", "integer"), ("mapTarget", "text"), ("targetComponentId", "id"), ("grouped", "boolean"), ("sourceEffectiveTime", "time")]
+TOOLS, SHELF, WORDS = 71003000, 71004000, 71005000
+SAW, FILE, CLAMP, ADZE, MAKER, GONE = (72003000 + i * 1000 for i in range(6))
+FIELDS = [("weight", "number"), ("count", "integer"), ("label", "text"), ("maker", "id"), ("sharp", "boolean"), ("checkedOn", "time")]
+STOCK = [  # date, active, tool, then the fields
+    (20230401, True, SAW, "1.250", "12", "Gent saw", str(MAKER), "1", "20230301"),
+    (20230402, True, SAW, "-0.5", "7", "Coping saw; blue", str(ADZE), "0", "20230215"),
+    (20230403, False, FILE, "0.30", "12", "Half round", str(MAKER), "1", "20230301"),
+    (None, True, CLAMP, "", "", "", "", "0", ""),
+    (20230404, True, GONE, "1.25", "3", "Gent brush", str(MAKER), "true", "20230405"),
+]
 
 
 @pytest.fixture(scope="module")
-def refsets(spark):
-    def row(n, date, active, ref, *cells):
-        return (REFSET, n, date, active, 100001, ref, dict(zip([f for f, _ in MEMBER_FIELDS], cells)))
-
-    members = [
-        row(1, 20260826, True, 300001, "1", "A12.3", "400001", "0", "20260826"),
-        row(2, 20260731, True, 300001, "2", "B12.3", "400002", "1", "20260731"),
-        row(3, 20260826, False, 300002, "1", "A12.3", "400001", "0", "20260826"),
-        row(4, None, True, 300003, "2", "A12.4", "400003", "1", ""),
-        (OTHER, 5, 20260101, True, 100001, 300002, {"note": "x"}),
-        (TEXTS, 6, 20260101, True, 100001, 300012, {"note": "x"}),
-    ]
-    ids = [100001, 200001, 200002, 200003, 300001, 300002, 300003, 400001, 400002]
+def shop(spark):
+    ids = [TOOLS, SHELF, WORDS, SAW, FILE, CLAMP, ADZE, MAKER]
+    stock = [(TOOLS, i, d, a, MAKER, tool, dict(zip([f for f, _ in FIELDS], cells))) for i, (d, a, tool, *cells) in enumerate(STOCK)]
     return Engine(make(
         spark,
-        concept=concepts(ids, inactive=[300003]),
-        member=members,
-        member_schema=[(REFSET, i, f, k) for i, (f, k) in enumerate(MEMBER_FIELDS)] + [(OTHER, 0, "note", "text")],
+        concept=[(c, MAKER, None, c != CLAMP, False) for c in ids],
+        member=[*stock, (SHELF, 50, 20230101, True, MAKER, ADZE, {"row": "3"}), (WORDS, 51, 20230101, True, MAKER, 72003013, {"note": "of a description"})],
+        member_schema=[(TOOLS, i, f, k) for i, (f, k) in enumerate(FIELDS)] + [(SHELF, 0, "row", "integer")],
     ))
 
 
-@pytest.mark.parametrize(
-    "text,want",
-    [
-        ("^ 200001", [300001, 300003]),
-        ("^R 300001", [200001]),
-        ("^ (200001 OR 200002)", [300001, 300002, 300003]),
-        ("^ 999999999", []),
-        ("^ 200001 {{M mapGroup = #1}}", [300001]),
-        ("^ 200001 {{M mapGroup = #1, mapTarget = wild:\"B*\"}}", []),
-        ("^ 200001 {{M mapGroup = #2}} {{M mapTarget = wild:\"b*\"}}", [300001]),
-        ("^ 200001 {{M active = 0}}", [300002]),
-        ("^ 200001 {{M active = *}}", [300001, 300002, 300003]),
-        ("^ 200001 {{M targetComponentId = 400002}}", [300001]),
-        ("^ 200001 {{M targetComponentId != 400001}}", [300001, 300003]),
-        ("^ 200001 {{M grouped = true}}", [300001, 300003]),
-        ("^ 200001 {{M effectiveTime = \"\"}}", [300003]),
-        ("^ 200001 {{M effectiveTime >= \"20260801\"}}", [300001]),
-        ("^ 200001 {{M sourceEffectiveTime != (\"20260826\" \"20260731\")}}", [300003]),
-        ("^ 200001 {{M moduleId = 100001}}", [300001, 300003]),
-        ("^R 300002 {{M active = 0}}", [200001]),
-        ("^ [referencedComponentId] 200001", [300001, 300003]),
-        ("(^ [targetComponentId] 200001 {{M mapGroup = #1}}) OR 300001", [300001, 400001]),
-    ],
-)
-def test_reference_sets(refsets, text, want):
-    assert ids_of(refsets, text) == want
-
-
-def test_reference_set_values_rows_and_errors(refsets):
-    got = refsets.evaluate("^ [targetComponentId] 200001")  # 400003 is no concept of the edition
-    assert got.kind == "values" and [r["text"] for r in got.ordered().collect()] == ["400001", "400002", "400003"]
-    rows = refsets.evaluate("^ [mapTarget, MAPGROUP] 200001")
-    assert rows.df.columns == ["mapTarget", "mapGroup"] and [tuple(r) for r in rows.df.collect()] == [("A12.3", "1"), ("B12.3", "2"), ("A12.4", "2")]
-    assert refsets.evaluate("^ [*] 200002").df.columns == ["referencedComponentId", "note"]
+def stocked(test, active=True):
+    rows = [dict(zip(["date", "active", "tool", *[f for f, _ in FIELDS]], r)) for r in STOCK]
+    return sorted({r["tool"] for r in rows if (active is None or r["active"] == active) and r["tool"] != GONE and test(r)})
+
+
+def test_member_filters_equal_loops(shop):
+    number = lambda r, f: Decimal(r[f]) if r[f] else None
+    for text, test in {
+        "weight = #1.25": lambda r: number(r, "weight") == Decimal("1.25"),
+        "weight < #0": lambda r: r["weight"] and number(r, "weight") < 0,
+        "count >= #7, weight > #-1": lambda r: r["count"] and number(r, "count") >= 7 and number(r, "weight") > -1,
+        'label = "saw"': lambda r: any(w.startswith("saw") for w in r["label"].lower().split()),
+        'label != "saw"': lambda r: not any(w.startswith("saw") for w in r["label"].lower().split()),
+        'label = wild:"*blue"': lambda r: r["label"].endswith("blue"),
+        f"maker = {MAKER}": lambda r: r["maker"] == str(MAKER),
+        f"maker != {MAKER}": lambda r: r["maker"] not in ("", str(MAKER)),
+        "sharp = true": lambda r: r["sharp"] in ("1", "true"),
+        'checkedOn < "20230220"': lambda r: r["checkedOn"] and r["checkedOn"] < "20230220",
+        'effectiveTime = ""': lambda r: r["date"] is None,
+        'effectiveTime >= "20230402"': lambda r: r["date"] and r["date"] >= 20230402,
+        f"moduleId = {MAKER}": lambda r: True,
+    }.items():
+        assert ids_of(shop, f"^ {TOOLS} {{{{ M {text} }}}}") == stocked(test), text
+    assert ids_of(shop, f"^ {TOOLS} {{{{ M active = 0 }}}}") == stocked(lambda r: True, False)
+    assert ids_of(shop, f"^ {TOOLS} {{{{ M active = * }}}}") == stocked(lambda r: True, None)
+    assert ids_of(shop, f"^ {TOOLS} {{{{ M count = #12 }}}} {{{{ M sharp = true }}}}") == [SAW]
+    assert ids_of(shop, f"^R {SAW} {{{{ M count = #7 }}}}") == [TOOLS] and ids_of(shop, f"^R {FILE} {{{{ M active = 0 }}}}") == [TOOLS]
+    assert ids_of(shop, f"^ ({TOOLS} OR {SHELF})") == sorted([*stocked(lambda r: True), ADZE])
+
+
+def test_member_values_and_rows(shop):
+    assert ids_of(shop, f"^ [referencedComponentId] {TOOLS}") == stocked(lambda r: True)
+    got = shop.evaluate(f"^ [weight] {TOOLS}")
+    assert got.kind == "values" and [tuple(r) for r in got.ordered().collect()] == [(2, "-0.5"), (2, "1.25")]
+    assert sinks.json_lines(got).first()[0] == '{"type":"number","value":"-0.5"}'
+    assert ids_of(shop, f"^ [maker] {TOOLS}") == sorted([ADZE, MAKER]) and ids_of(shop, f"(^ [maker] {TOOLS} {{{{ M count = #7 }}}}) OR {SAW}") == [SAW, ADZE]
+    rows = shop.evaluate(f"^ [label, COUNT] {TOOLS}")
+    assert rows.kind == "rows" and rows.df.columns == ["label", "count"] and [tuple(r) for r in rows.ordered().collect()] == [("Gent saw", "12"), ("Coping saw; blue", "7"), ("", ""), ("Gent brush", "3")]
+    assert rows.window(1, 2).count() == 2 and shop.evaluate(f"^ [*] {SHELF}").df.columns == ["referencedComponentId", "row"]
+
+
+def test_member_errors(shop):
     for text, error in [
-        ("^ 200003", t.SemanticError), ("^ [id] 200001", t.InvalidField), ("^ 200001 {{M nothing = #1}}", t.InvalidField), ("^ 200001 {{M mapGroup = \"1\"}}", t.TypeMismatch),
-        ("^ 200001 {{M mapTarget = #1}}", t.TypeMismatch), ("(^ [mapGroup, mapTarget] 200001) OR *", t.TypeMismatch), ("< (^ [targetComponentId] 200001)", t.MissingReference), ("q#A", t.UnknownAlias),
+        (f"^ {WORDS}", t.SemanticError), (f"^ [row] {TOOLS}", t.InvalidField), (f"^ {TOOLS} {{{{ M row = #3 }}}}", t.InvalidField), (f'^ {TOOLS} {{{{ M count = "12" }}}}', t.TypeMismatch),
+        (f"^ {TOOLS} {{{{ M label = #1 }}}}", t.TypeMismatch), (f"(^ [label, count] {TOOLS}) AND *", t.TypeMismatch), ("nowhere#1", t.UnknownAlias),
     ]:
         with pytest.raises(error):
-            refsets.evaluate(text).df.count()
+            shop.evaluate(text).df.count()
+
 
+# ---- descriptions, dialects, metadata, history, identifiers: a kitchen
 
-# ---- descriptions, metadata, history, identifiers
+BRULEE, LADLE, WHISK, OSTKROK, LIST, OLDER = (81003000 + i * 1000 for i in range(6))
+GB, US, LIKED, FAIR = fixed.GB_ENGLISH, fixed.US_ENGLISH, fixed.PREFERRED, fixed.ACCEPTABLE
+TEXTS = [  # concept, type, active, language, term, dialects
+    (BRULEE, fixed.SYNONYM, True, "en", "Crème brûlée torch", [(GB, LIKED)]), (BRULEE, fixed.FSN, True, "en", "Torch for glazing (utensil)", [(US, FAIR)]),
+    (LADLE, fixed.SYNONYM, False, "en", "Torch ladle", []), (LADLE, fixed.SYNONYM, True, "en", "Soup ladle 2*2", [(GB, FAIR), (US, LIKED)]),
+    (OSTKROK, fixed.SYNONYM, True, "sv", "Böjd krok", []), (OSTKROK, fixed.DEFINITION, True, "en", "A bent hook", [(US, FAIR)]),
+]
 
 
 @pytest.fixture(scope="module")
-def described(spark):
-    gb, us, pref, acc = fixed.GB_ENGLISH, fixed.US_ENGLISH, fixed.PREFERRED, fixed.ACCEPTABLE
-    syn, fsn = fixed.SYNONYM, fixed.FSN
-    d = [
-        (200010, 100001, syn, True, "en", "gastric pain", [(gb, pref)]), (200110, 100001, fsn, True, "en", "Stomach disorder (disorder)", [(us, acc)]),
-        (200210, 100002, syn, False, "en", "obsolete gas term", []), (200310, 100003, syn, True, "en", "RÉSUMÉ syndrome", [(gb, acc), (us, pref)]),
-        (200410, 100004, syn, True, "sv", "sjögren syndrome", []), (200510, 100003, syn, True, "en", "a*b", []),
-    ]
+def kitchen(spark):
+    meta = [(c, LIST, None, True, False) for c in (fixed.ASSOCIATIONS, fixed.SAME_AS, fixed.MOVED_FROM, fixed.MOVED_TO)]
     return Engine(make(
         spark,
-        config=Config(schemes={"demo": 100005}),
-        concept=[(100001, 100005, 20260101, True, False), (100002, 100005, None, True, True), (100003, 100004, 20260303, False, False), (100004, 100005, 20260404, True, False), (100005, 100005, 20260101, True, False), (fixed.ASSOCIATIONS, 100005, None, True, False), (fixed.SAME_AS, 100005, None, True, False), (fixed.MOVED_FROM, 100005, None, True, False), (fixed.MOVED_TO, 100005, None, True, False), (fixed.PRIMITIVE, 100005, None, True, False)],
+        config=Config(schemes={"shelf": LIST}),
+        concept=[(BRULEE, LIST, 20230101, True, False), (LADLE, LIST, None, True, True), (WHISK, OSTKROK, 20230303, False, False), (OSTKROK, LIST, 20230404, True, False), (LIST, LIST, 20230101, True, False), (OLDER, LIST, None, False, False), *meta],
         isa=[(r, fixed.ASSOCIATIONS) for r in (fixed.SAME_AS, fixed.MOVED_FROM, fixed.MOVED_TO)],
-        description=[(i, c, 100005, k, 20260101, a, lang, term, dia) for i, c, k, a, lang, term, dia in d],
-        association=[(fixed.SAME_AS, 100003, 100001), (fixed.MOVED_FROM, 100001, 100004), (fixed.MOVED_TO, 100002, 100001)],
-        identifier=[(100005, "A.1", 100001, 100005, None, True), (100005, "old", 100002, 100005, None, False), (100005, "desc", 200010, 100005, None, True), (100005, "café + test", 100004, 100005, None, True)],
+        description=[(81003000 * 10 + i, c, LIST, k, 20230101, a, lang, term, dialects) for i, (c, k, a, lang, term, dialects) in enumerate(TEXTS)],
+        association=[(fixed.SAME_AS, WHISK, BRULEE), (fixed.MOVED_FROM, BRULEE, OSTKROK), (fixed.MOVED_TO, LADLE, BRULEE)],
+        identifier=[(LIST, "B-1", BRULEE, LIST, None, True), (LIST, "B-0", LADLE, LIST, None, False), (LIST, "crème & co", OSTKROK, LIST, None, True), (LIST, "text", 810030010, LIST, None, True)],
     ))
 
 
-@pytest.mark.parametrize(
-    "text,want",
-    [
-        ('* {{ term = "pain gas" }}', [100001]),
-        ('* {{ term = "ain" }}', []),
-        ('* {{ term = "resume" }}', [100003]),
-        ('* {{ term = "résumé" }}', [100003]),
-        ('* {{ term = "résume" }}', [100003]),
-        ('* {{ term = "pàin" }}', []),
-        ('* {{ term = "sjogren" }}', []),
-        ('* {{ term = "sjögren" }}', [100004]),
-        ('* {{ term = wild:"gas*pain" }}', [100001]),
-        ('* {{ term = wild:"gas" }}', []),
-        ('* {{ term = wild:"a\\*b" }}', [100003]),
-        ('* {{ term = ("pain" "syndrome") }}', [100001, 100003, 100004]),
-        ('* {{ term = "gas", active = 0 }}', [100002]),
-        ("* {{ type = fsn }}", [100001]),
-        ("* {{ type != fsn }}", [100001, 100003, 100004]),
-        ("* {{ language = sv }}", [100004]),
-        ("* {{ dialect = en-gb (prefer) }}", [100001]),
-        ("* {{ dialect = en-gb }}", [100001, 100003]),
-        ("* {{ dialectId = 900000000000509007 (prefer) }}", [100003]),
-        ("* {{ dialect = (en-gb en-us) (accept) }}", [100001, 100003]),
-        ("* {{ id = 200010 }}", [100001]),
-        ("* {{ type = fsn }} {{ dialect = en-gb }}", [100001]),
-        ("* {{ type = fsn, dialect = en-gb }}", []),
-        ("100001 OR 100003 {{C active = 1}}", [100001]),
-        ("* {{C definitionStatus = defined}}", [100002]),
-        ("* {{C definitionStatusId != 900000000000073002}} MINUS (> 900000000000527005 OR << 900000000000522004 OR 900000000000074008)", [100001, 100003, 100004, 100005]),
-        ("* {{C moduleId = 100004}}", [100003]),
-        ("* {{C moduleId = 999999999}}", []),
-        ('* {{C effectiveTime > "20260302"}}', [100003, 100004]),
-        ('(100001 OR 100002) {{C effectiveTime <= ""}}', [100002]),
-        ("100001 {{+HISTORY-MIN}}", [100001, 100003, 100004]),
-        ("100001 {{+HISTORY-MAX}}", [100001, 100003, 100004]),
-        ("100001 {{+HISTORY (900000000000524003)}}", [100001]),
-        ("demo#A.1", [100001]),
-        ('"demo#café + test" OR demo#old OR demo#desc', [100004]),
-    ],
-)
-def test_filters_history_identifiers(described, text, want):
-    assert ids_of(described, text) == want
-
-
-def test_lookup_search_batch(described):
-    assert described.lookup(100001)["descriptions"][0]["term"] == "gastric pain"
-    assert [r.concept_id for r in described.search("sto").collect()] == [100001]
-    assert [tuple(r) for r in displays(described.c.description).orderBy("concept_id").collect()] == [(100001, "gastric pain"), (100003, "RÉSUMÉ syndrome")]
-    ask = lambda **r: batch.answer(described, r)
-    assert ask(id=1, ecl="* {{ type = fsn }}")["codes"] == [100001]
-    assert ask(ecl="*", count_only=True)["total"] == 10
-    assert ask(ecl="demo#A.1", display=True)["concepts"] == [{"concept_id": 100001, "display": "gastric pain", "active": True}]
+def begins(word, asked, language):
+    """Letter by letter: a letter asked for without an accent stands for those with one, unless the language has it as a letter of its own."""
+    if len(asked) > len(word):
+        return False
+    own = {"sv": "åäö"}.get(language, "")
+    return all(a == w or (w not in own and a == unicodedata.normalize("NFD", w)[0]) for a, w in zip(asked.lower(), word.lower()))
+
+
+def test_terms_equal_loops(kitchen):
+    for asked in ["torch", "cre", "crè", "créme", "brulee torch", "TOR GLA", "bojd", "böjd", "krok", "bent", "adle", "soup 2", "càeme"]:
+        want = {c for c, _, a, lang, term, _ in TEXTS if a and all(any(begins(w.strip("()"), x, lang) for w in term.replace("*", " ").split()) for x in asked.split())}
+        assert set(ids_of(kitchen, f'* {{{{ term = "{asked}" }}}}')) == want, asked
+    for pattern, want in {"cr*torch": [BRULEE], "torch": [], "*ladle*": [LADLE], "*2\\*2": [LADLE], "b?nt": []}.items():
+        assert ids_of(kitchen, f'* {{{{ term = wild:"{pattern}" }}}}') == want, pattern
+    assert ids_of(kitchen, '* {{ term = ("torch" "bent") }}') == sorted([BRULEE, OSTKROK]) and ids_of(kitchen, '* {{ term = "torch", active = 0 }}') == [LADLE]
+
+
+def test_description_filters_equal_loops(kitchen):
+    live = [x for x in TEXTS if x[2]]
+    of = lambda test: sorted({x[0] for x in live if test(x)})
+    pairs = lambda x, r, a=None: any(d == r and (a is None or k == a) for d, k in x[5])
+    for text, test in {
+        "type = fsn": lambda x: x[1] == fixed.FSN, "type != fsn": lambda x: x[1] != fixed.FSN, "type = (syn def)": lambda x: x[1] != fixed.FSN, "language = sv": lambda x: x[3] == "sv", "language != sv": lambda x: x[3] != "sv",
+        "dialect = en-gb": lambda x: pairs(x, GB), "dialect = en-gb (prefer)": lambda x: pairs(x, GB, LIKED), f"dialectId = {US} (accept)": lambda x: pairs(x, US, FAIR), "dialect = (en-gb en-us) (prefer)": lambda x: pairs(x, GB, LIKED) or pairs(x, US, LIKED),
+        "type = syn, dialect = en-us": lambda x: x[1] == fixed.SYNONYM and pairs(x, US), "id = 810030003": lambda x: x is TEXTS[3],
+    }.items():
+        assert ids_of(kitchen, f"* {{{{ {text} }}}}") == of(test), text
+    assert ids_of(kitchen, "* {{ type = fsn }} {{ dialect = en-gb }}") == [BRULEE]  # two blocks may be met by two descriptions
+
+
+def test_history_and_identifiers(kitchen):
+    assert ids_of(kitchen, f"{BRULEE} {{{{ +HISTORY-MIN }}}}") == ids_of(kitchen, f"{BRULEE} {{{{ +HISTORY-MAX }}}}") == [BRULEE, WHISK, OSTKROK]
+    assert ids_of(kitchen, f"{BRULEE} {{{{ + HISTORY ({fixed.MOVED_TO}) }}}}") == [BRULEE]
+    assert ids_of(kitchen, "shelf#B-1") == [BRULEE] and ids_of(kitchen, '"shelf#crème & co" OR shelf#B-0 OR shelf#text') == [OSTKROK]
+
+
+def test_history_of_tables_that_are_no_associations(spark):
+    own, plain = 91003000, 91004000
+    a, b, c = 92003000, 92004000, 92005000
+    engine = Engine(make(
+        spark,
+        concept=[(x, a, None, True, False) for x in (own, plain, a, b, c)],
+        member=[(own, 1, None, True, a, b, {"targetComponentId": str(a)}), (own, 2, None, False, a, c, {"targetComponentId": str(a)}), (plain, 3, None, True, a, c, {"x": "1"})],
+        member_schema=[(own, 0, "targetComponentId", "id"), (plain, 0, "x", "text")],
+    ))
+    assert ids_of(engine, f"{a} {{{{ + HISTORY ({own}) }}}}") == [a, b]
+    with pytest.raises(t.InvalidField):
+        engine.evaluate(f"{a} {{{{ + HISTORY ({plain}) }}}}").df.count()
+
+
+def points(label, text):
+    """The points of a label, by loops."""
+    fold = lambda s: "".join(dict(zip(fixed.FOLD_FROM, fixed.FOLD_TO)).get(x, x) for x in s.lower())
+    lower = lambda s: "".join(x.lower() if x.isascii() else x for x in s)
+    split = lambda s: "".join(x if x.isascii() and x.isalnum() else " " for x in fold(s)).split()
+    asked, has = split(text), split(label)
+    n = 1000 * (lower(label) == lower(text.strip())) + 200 * lower(label).startswith(lower(text.strip()))
+    for i, w in enumerate(asked):
+        n += (60 + 20 * (has.index(w) == i)) if w in has else 25 * any(x.startswith(w) for x in has)
+    return n - 3 * max(0, len(has) - len(asked))
+
+
+def test_scores_equal_loops(spark):
+    labels = ["Crème torch", "creme torch", "CRÈME TORCH", "torch torch crème", "Torchlight", "a torch", "torch", "Torch (utensil)", "über-torch 2"]
+    df = spark.createDataFrame([(x,) for x in labels], "label string")
+    for text in ("torch", "Crème torch", "crÈme tor", "torch torch", " torch ", "a", "ÜBER 2"):
+        got = {r.label: r.s for r in df.select("label", search_score(F.col("label"), text).alias("s")).collect()}
+        assert got == {x: points(x, text) for x in labels}, text
+
+
+def test_unlabelled_concepts_come_last(spark):
+    bare, named = 93003000, 93004000
+    engine = Engine(make(spark, concept=[(c, bare, None, True, False) for c in (bare, named)], description=[(1, bare, bare, fixed.SYNONYM, None, True, "sv", "tratt", []), (2, named, bare, fixed.SYNONYM, None, True, "en", "tratt of tin", [])]))
+    assert [r.concept_id for r in engine.search("tratt").collect()] == [named, bare]
+    assert [r.concept_id for r in engine.search("tratt", limit=1, pool=1).collect()] == [named]
+    assert batch.answer(engine, {"search": "tratt", "limit": 1})["total"] == 2
+
+
+def test_lookup_display_batch(kitchen):
+    assert [d["term"] for d in kitchen.lookup(LADLE)["descriptions"]] == ["Torch ladle", "Soup ladle 2*2"]
+    assert {tuple(r) for r in displays(kitchen.c.description).collect()} == {(BRULEE, "Crème brûlée torch"), (LADLE, "Soup ladle 2*2")}
+    ask = lambda **r: batch.answer(kitchen, r)
+    got = ask(id=1, ecl="* {{ type = fsn }}")
+    assert got["codes"] == [BRULEE] and got["id"] == 1 and got["supplements"] == [] and "archive_sha256" in got
+    assert ask(ecl="*", count_only=True)["total"] == 10 and "offset" not in ask(ecl="*", count_only=True)
+    assert ask(ecl="shelf#B-1", display=True)["concepts"] == [{"concept_id": BRULEE, "display": "Crème brûlée torch", "active": True}]
     assert ask(ecl="<")["error"]["kind"] == "Syntax" and ask(ecl="x#y")["error"]["kind"] == "UnknownAlias"
-    assert "error" in ask(ecl="*", extra=1) and "error" in ask() and "config_sha256" in ask(manifest=True)
-    assert [p["concept_id"] for p in ask(history=100001)["predecessors"]] == [100002, 100003]
-    out = list(batch.batch(described, ['{"id": 5, "ecl": "100001"}', "", "{", "x" * 600_000], workers=2))
+    assert "error" in ask(ecl="*", extra=1) and "error" in ask() and "config_sha256" in ask(manifest=True) and "error" in ask(manifest=True, limit=1) and "error" in ask(history=5)
+    told = ask(history=BRULEE)
+    assert [p["concept_id"] for p in told["predecessors"]] == [LADLE, WHISK] and told["display"] == "Crème brûlée torch"
+    out = list(batch.batch(kitchen, ['{"id": 5, "ecl": "' + str(BRULEE) + '"}', "", "{", "x" * 600_000], workers=2))
     assert len(out) == 3 and any('"id": 5' in x for x in out)
 
 
-def test_diff(spark, described):
-    newer = Engine(make(spark, concept=concepts([100001, 100006])))
-    got = {r.concept_id: r.change for r in diff("*", described, newer).collect()}
-    assert got[100001] == "unchanged" and got[100006] == "added" and got[100002] == "removed"
+def test_requests_are_cut_short_by_time_only(spark):
+    many = Engine(Catalog(spark, {"concept": lambda: spark.range(12_000).select((F.col("id") * 1000 + 95_000_000).alias("concept_id"), F.lit(1).cast("long").alias("module_id"), F.lit(None).cast("int").alias("effective_time"), F.lit(True).alias("active"), F.lit(False).alias("defined"))}))
+    assert len(batch.answer(many, {"ecl": "*"})["codes"]) == 12_000
+    assert batch.answer(many, {"ecl": "*", "offset": 11_990, "limit": 100})["codes"][-1] == 95_000_000 + 11_999_000
+    slow = "* MINUS (" + " OR ".join(["(* MINUS *)"] * 12) + ")"
+    answers = list(batch.batch(many, [f'{{"id": 9, "ecl": "{slow}"}}'], seconds=0.3))
+    assert '"Cancelled"' in answers[0] and '"id": 9' in answers[0]
+
+
+def test_diff(spark, kitchen):
+    newer = Engine(make(spark, concept=[(c, BRULEE, None, True, False) for c in (BRULEE, 96003000)]))
+    got = {r.concept_id: r.change for r in diff("*", kitchen, newer).collect()}
+    assert got[BRULEE] == "unchanged" and got[96003000] == "added" and got[LADLE] == "removed"
 
 
-def test_stream_of_requests(spark, described, tmp_path):
+def test_stream_of_requests(spark, kitchen, tmp_path):
     from conceptmill.streaming.requests import answer_stream
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.txt").write_text('{"id": 1, "ecl": "100001"}\n{"id": 2, "ecl": "("}\n')
-    query = answer_stream(described, spark.readStream.text(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
+    (tmp_path / "in/a.txt").write_text(f'{{"id": 1, "ecl": "{LADLE}"}}\n{{"id": 2, "ecl": "("}}\n')
+    query = answer_stream(kitchen, spark.readStream.text(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(120)
     lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
-    assert len(lines) == 2 and any('"codes": [100001]' in x for x in lines)
+    assert len(lines) == 2 and any(f'"codes": [{LADLE}]' in x for x in lines)
 
 
-def test_saved_index(spark, described, tmp_path):
-    save(described.c, str(tmp_path / "index"))
-    again = Engine(load(spark, str(tmp_path / "index"), described.c.config))
-    assert ids_of(again, '* {{ term = "pain" }}') == [100001] and ids_of(again, "< 900000000000522004") == sorted([fixed.SAME_AS, fixed.MOVED_FROM, fixed.MOVED_TO])
+def test_saved_index(spark, kitchen, tmp_path):
+    save(kitchen.c, str(tmp_path / "index"))
+    again = Engine(load(spark, str(tmp_path / "index"), kitchen.c.config))
+    assert ids_of(again, '* {{ term = "glazing" }}') == [BRULEE] and ids_of(again, f"< {fixed.ASSOCIATIONS}") == sorted([fixed.SAME_AS, fixed.MOVED_FROM, fixed.MOVED_TO])
     assert not any(verify(again.c).values())
     with pytest.raises(FileExistsError):
-        save(described.c, str(tmp_path / "index"))
+        save(kitchen.c, str(tmp_path / "index"))
 
 
 def test_verify_finds_cycles(spark):
-    bad = verify(make(spark, concept=concepts([100001, 100002, 100003]), isa=[(100001, 100002), (100002, 100003), (100003, 100001)]))
-    assert bad["cyclic_pairs"] == 6
+    ring = THINGS[:4]
+    bad = verify(make(spark, concept=[(c, ring[0], None, True, False) for c in ring], isa=list(zip(ring, ring[1:] + ring[:1]))))
+    assert bad["cyclic_pairs"] == 12
 
 
 # ---- scalar functions
