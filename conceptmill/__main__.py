@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-import tempfile
 from pathlib import Path
 
 from . import batch as batches
@@ -47,6 +46,12 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--count", action="store_true")
             p.add_argument("--offset", type=int, default=0)
             p.add_argument("--limit", type=int)
+        if name in ("import", "add-refsets"):
+            p.add_argument("--sha256")
+        if name == "import":
+            p.add_argument("--edition")
+        if name == "add-refsets":
+            p.add_argument("--date", type=int, required=True)
         if name == "batch":
             p.add_argument("--workers", type=int, default=1)
             p.add_argument("--seconds", type=float)
@@ -65,9 +70,11 @@ def main(argv: list[str] | None = None) -> int:
     engine = lambda name: Engine(load(spark, resolve(name, a.library), config))
     try:
         if a.command in ("import", "add-refsets"):
-            made = snapshot.import_snapshot(spark, a.archive, tempfile.mkdtemp(), config, progress=lambda s: print(s, file=sys.stderr))
-            if a.command == "add-refsets":
-                made = snapshot.add_refsets(load(spark, resolve(a.base, a.library), config), made)
+            base = load(spark, resolve(a.base, a.library), config) if a.command == "add-refsets" else None
+            options = {"edition": a.edition} if a.command == "import" else {"expected_date": a.date, "base": base}
+            made = snapshot.import_snapshot(spark, a.archive, config=config, expected_checksum=a.sha256, progress=lambda s: print(s, file=sys.stderr), **options)
+            if base is not None:
+                made = snapshot.add_refsets(base, made)
             save(made, a.index)
             show(made.manifest)
         elif a.command == "verify":

@@ -122,6 +122,11 @@ class Catalog:
             out.setdefault(r["refset"], {})[r["field"].lower()] = (r["field"], r["kind"])
         return out
 
+    @cached_property
+    def refsets(self) -> set[int]:
+        """All reference sets with rows or a declared domain; those without own fields have no row in ``member_schema``."""
+        return set(self.schema_of) | {r[0] for r in self.refset_domain.select("refset").collect()}
+
 
 # Latin-1 letters and what they are searched as
 FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"

@@ -401,18 +401,15 @@ class Engine:
 
     def member_table(self, node: t.Members, wanted: list[str]) -> tuple[dict[str, tuple[str, str]], DataFrame]:
         """Fields in use and the rows of the selected tables that have them all, filtered."""
-        schema = self.c.schema_of
+        schema = {r: self.c.schema_of.get(r, {}) for r in self.c.refsets}
         if node.reverse:
             selected = list(schema)
         else:
             self.check_domain(node.of)
             ids = literals(node.of)
-            if ids is None:
-                tables = self.c.member_schema.select(F.col("refset")).distinct()
-                tables = tables if isinstance(node.of, t.Any) else self.keep(tables, "refset", node.of)
-                selected = [r[0] for r in tables.collect()]
-            else:
-                selected = [i for i in ids if i in schema]
+            if ids is None and not isinstance(node.of, t.Any):
+                ids = [r[0] for r in self.keep(self.c.refset_domain.select("refset"), "refset", node.of).collect()]
+            selected = list(schema) if ids is None else [i for i in ids if i in schema]
         needed = [n.lower() for n in wanted] + [f.field.lower() for f in node.filters]
         fields: dict[str, tuple[str, str]] = {}
         for n in needed:

@@ -62,6 +62,15 @@ def _delete(spark: SparkSession, path: str) -> None:
 _runs: dict[str, str] = {}
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The application's folder in the shared checkpoint folder; it is deleted when the interpreter ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _runs:
+        _runs[app] = f"{_shared_folder(spark)}/conceptmill-{app}"
+        atexit.register(_delete, spark, _runs[app])
+    return _runs[app]
+
+
 def cut(df: DataFrame, instead_of: DataFrame | None = None, told: dict[str, Column] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it from there.
 
@@ -72,11 +81,7 @@ def cut(df: DataFrame, instead_of: DataFrame | None = None, told: dict[str, Colu
     written, without a further job; :func:`told` has them.
     """
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    if app not in _runs:
-        _runs[app] = f"{_shared_folder(spark)}/conceptmill-{app}"
-        atexit.register(_delete, spark, _runs[app])
-    path = f"{_runs[app]}/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     seen = Observation() if told else None
     (df.observe(seen, *[c.alias(n) for n, c in told.items()]) if told else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import shutil
+import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable
@@ -18,7 +21,7 @@ from .. import catalog as fixed
 from ..catalog import Catalog, Config, build_closure, is_concept_id
 from ..functions import decimals
 from ..operators.schema_drift import STANDARD
-from ..session import cut
+from ..session import cut, run_folder
 
 # Columns of the core files and identifiers of the descriptor model
 COLUMNS = {
@@ -28,12 +31,15 @@ COLUMNS = {
     "sct2_Description_": "id effectiveTime active moduleId conceptId languageCode typeId term caseSignificanceId",
     "sct2_TextDefinition_": "id effectiveTime active moduleId conceptId languageCode typeId term caseSignificanceId",
 }
-REQUIRED = ["sct2_Concept_", "sct2_Relationship_", "sct2_Description_"]
+REQUIRED = ["sct2_Concept_", "sct2_Relationship_", "sct2_RelationshipConcreteValues_", "sct2_Description_", "der2_cRefset_Language", "der2_ssRefset_ModuleDependency"]
+PACKAGE = "release_package_information.json"
+SIMPLE_REFSET, DEPENDENCIES, MODULE_DEPENDENCY = "der2_Refset_", "der2_ssRefset_ModuleDependency", 900000000000534007
+LINE_LIMIT = 16 << 20
 IDENTIFIER_ORDERS = ["alternateIdentifier effectiveTime active moduleId identifierSchemeId referencedComponentId", "identifierSchemeId alternateIdentifier effectiveTime active moduleId referencedComponentId"]
 DATATYPES = [("number", 1119403002), ("time", 900000000000475002), ("uuid", 900000000000474003), ("uuid", 900000000000464001), ("integer", 900000000000476001), ("text", 1119460002), ("id", 900000000000460005)]
 CONCEPT_TYPE, DESCRIPTION_TYPE, RELATIONSHIP_TYPE = 900000000000461009, 900000000000462002, 900000000000463007
 LETTERS = {"c": "id", "i": "integer", "s": "text"}
-MODULE_ROOT = 900000000000443000
+UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
 class ImportFailure(Exception):
@@ -42,14 +48,17 @@ class ImportFailure(Exception):
 
 @dataclass
 class Inspection:
-    """What an archive holds, before anything is imported."""
+    """What an archive holds, before anything is imported: ``date`` is the package's, ``missing`` and ``duplicated`` are file kinds."""
 
     checksum: str
     date: int | None
     files: dict[str, list[str]]
     missing: list[str]
     duplicated: list[str]
-    repairs: list[str] = field(default_factory=list)
+
+    @property
+    def importable(self) -> bool:
+        return not self.missing and not self.duplicated
 
 
 def sha256_of(path: str) -> str:
@@ -68,46 +77,73 @@ def _names(path: str) -> list[str]:
     return [p.relative_to(root).as_posix() for p in root.rglob("*") if p.is_file()]
 
 
+def _start(path: str, name: str, size: int) -> bytes:
+    """The first bytes of a file of the archive, up to its first line break."""
+    if zipfile.is_zipfile(path):
+        with zipfile.ZipFile(path) as z, z.open(name) as f:
+            return f.readline(size)
+    with open(Path(path) / name, "rb") as f:
+        return f.readline(size)
+
+
+def _package_date(path: str, name: str) -> int | None:
+    if zipfile.is_zipfile(path):
+        with zipfile.ZipFile(path) as z, z.open(name) as f:
+            text = f.read(1 << 20)
+    else:
+        text = (Path(path) / name).read_bytes()[: 1 << 20]
+    try:
+        return int(json.loads(text)["effectiveTime"])
+    except (ValueError, KeyError, TypeError):
+        return None
+
+
 def inspect(path: str) -> Inspection:
-    """File names by kind, the release date from the file names, and what is missing or there twice."""
-    snapshot = [n for n in _names(path) if "/Snapshot/" in "/" + n and n.endswith(".txt")]
-    files: dict[str, list[str]] = {p: [n for n in snapshot if PurePosixPath(n).name.startswith(p)] for p in [*COLUMNS, "sct2_Identifier_"]}
+    """File names by kind, the release date that the package states, and what is missing or there twice."""
+    every = _names(path)
+    snapshot = [n for n in every if "/Snapshot/" in "/" + n and n.endswith(".txt")]
+    files: dict[str, list[str]] = {p: sorted(n for n in snapshot if PurePosixPath(n).name.startswith(p)) for p in [*COLUMNS, *REQUIRED, "sct2_Identifier_"]}
     files["refset"] = sorted(n for n in snapshot if re.match(r"der2_[cis]*Refset_", PurePosixPath(n).name))
-    dates = {int(m.group(1)) for n in snapshot if (m := re.search(r"_([0-9]{8})\.txt$", n))}
+    files[PACKAGE] = sorted(n for n in every if PurePosixPath(n).name == PACKAGE)
     checksum = sha256_of(path) if Path(path).is_file() else ""
-    return Inspection(checksum, max(dates) if dates else None, files, [p for p in REQUIRED if not files[p]], [p for p in COLUMNS if len(files[p]) > 1 and p not in ("sct2_Description_", "sct2_TextDefinition_")])
+    date = _package_date(path, files[PACKAGE][0]) if len(files[PACKAGE]) == 1 else None
+    needed = [*REQUIRED, PACKAGE]
+    return Inspection(checksum, date, files, [p for p in needed if not files[p]], [p for p in needed if len(files[p]) > 1])
 
 
 class Archive:
-    """Extracted files of an archive in the shared folder."""
+    """Files of an archive, members of a ZIP copied to the shared folder, one at a time, so that executors can read them."""
 
-    def __init__(self, spark: SparkSession, path: str, work: str):
-        self.spark, self.path, self.work = spark, path, work
+    def __init__(self, spark: SparkSession, path: str, work: str | None = None):
+        self.spark, self.path, self.work = spark, path, work or f"{run_folder(spark)}/import-{uuid.uuid4().hex}"
         self.zip = zipfile.ZipFile(path) if zipfile.is_zipfile(path) else None
 
     def first_line(self, name: str) -> str:
-        stream = self.zip.open(name) if self.zip else open(Path(self.path) / name, "rb")
-        with stream as f:
-            return f.readline(16 << 20).decode("utf-8-sig").rstrip("\r\n")
+        return _start(self.path, name, LINE_LIMIT).decode("utf-8-sig").rstrip("\r\n")
 
     def place(self, name: str) -> str:
         if not self.zip:
-            return str(Path(self.path) / name)
-        target = Path(self.work) / f"{uuid.uuid5(uuid.NAMESPACE_URL, name).hex}.txt"
-        if not target.exists():
-            target.parent.mkdir(parents=True, exist_ok=True)
-            with self.zip.open(name) as source, open(target, "wb") as out:
-                while block := source.read(1 << 20):
-                    out.write(block)
-        return str(target)
+            return f"file://{Path(self.path).absolute() / name}"
+        target = f"{self.work}/{uuid.uuid5(uuid.NAMESPACE_URL, name).hex}.txt"
+        jvm = self.spark._jvm
+        to = jvm.org.apache.hadoop.fs.Path(target)
+        fs = to.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(to):
+            with tempfile.NamedTemporaryFile() as out:  # on the driver only, for the copy
+                with self.zip.open(name) as source:
+                    shutil.copyfileobj(source, out, 1 << 20)
+                out.flush()
+                fs.copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(f"file://{out.name}"), to)
+        return target
 
     def rows(self, name: str, columns: list[str]) -> DataFrame:
-        """Rows of a tab-separated file as text columns; a line with another number of columns fails the job."""
+        """Rows of a tab-separated file as text columns; a line with another number of columns, or an overlong one, fails the job."""
         header = self.first_line(name)
-        lines = self.spark.read.text(f"file://{self.place(name)}").withColumn("value", F.regexp_replace("value", "^\\x{feff}|\\r$", ""))
+        lines = self.spark.read.text(self.place(name)).withColumn("value", F.regexp_replace("value", "^\\x{feff}|\\r$", ""))
         lines = lines.filter((F.col("value") != header) & (F.col("value") != ""))
         cells = F.split("value", "\t", -1)
-        checked = F.when(F.size(cells) == len(columns), cells).otherwise(F.raise_error(F.concat(F.lit(f"{name}: {len(columns)} columns expected: "), F.substring("value", 1, 200))))
+        fault = F.when(F.octet_length("value") > LINE_LIMIT, "a line is too long: ").when(F.size(cells) != len(columns), f"{len(columns)} columns expected: ")
+        checked = F.when(fault.isNull(), cells).otherwise(F.raise_error(F.concat(F.lit(f"{name}: "), fault, F.substring("value", 1, 200))))
         return lines.select(checked.alias("c")).select(*[F.col("c")[i].alias(n) for i, n in enumerate(columns)])
 
     def core(self, prefix: str, name: str) -> DataFrame:
@@ -137,6 +173,24 @@ def _check(df: DataFrame, message: str) -> None:
         raise ImportFailure(f"{message}: {bad[0][0]}")
 
 
+class Checks:
+    """Rules of one stage, looked at together in one job: rows that should not be there, with what they mean."""
+
+    def __init__(self):
+        self.waiting: list[tuple[str, DataFrame]] = []
+
+    def __call__(self, df: DataFrame, message: str) -> None:
+        self.waiting.append((message, df))
+
+    def settle(self) -> None:
+        """Refuse the archive for all rules, in the order they were given, that any row breaks, each with one such row."""
+        parts = [df.select(F.lit(i).alias("rule"), F.col(df.columns[0]).cast("string").alias("row")).limit(1) for i, (_, df) in enumerate(self.waiting)]
+        broken = reduce(DataFrame.unionByName, parts).collect() if parts else []
+        if broken:
+            raise ImportFailure("; ".join(f"{self.waiting[rule][0]}: {row}" for rule, row in sorted(broken, key=lambda r: r[0])))
+        self.waiting = []
+
+
 def header_of(archive: Archive, name: str, repairs: list[str]) -> list[str]:
     """The own fields of a reference set file; the first six columns stand by position and may differ in case, or be called mapSource."""
     header = archive.first_line(name).split("\t")
@@ -148,6 +202,9 @@ def header_of(archive: Archive, name: str, repairs: list[str]) -> list[str]:
                 raise ImportFailure(f"{name}: {got} where {want} belongs")
             repairs.append(f"{PurePosixPath(name).name}: read {got} as {want}")
     own = [re.sub(r"\s", "", c) for c in header[len(STANDARD) :]]
+    letters = re.match(r"der2_([cis]*)Refset", PurePosixPath(name).name).group(1)
+    if len(letters) != len(own):
+        raise ImportFailure(f"{name}: the name promises {len(letters)} own fields, the header has {len(own)}")
     if len(own) > 64 or len({c.lower() for c in own}) < len(own) or not all(re.fullmatch("[A-Za-z]+", c) for c in own):
         raise ImportFailure(f"{name}: field names are not letters only, unique, and 64 at most")
     return own
@@ -166,120 +223,224 @@ def _members(archive: Archive, names: Iterable[str], repairs: list[str]) -> tupl
     return (reduce(DataFrame.unionByName, parts) if parts else None), fields
 
 
-def member_kinds(spark: SparkSession, tables: DataFrame, descriptors: DataFrame, closure: DataFrame, files: list[tuple[str, list[str]]]) -> DataFrame:
-    """(refset, pos, field, kind): kinds by the nearest descriptor above, else by the letters of the file name.
+def nearest_descriptors(refsets: DataFrame, descriptors: DataFrame, closure: DataFrame, check: Callable = _check) -> DataFrame:
+    """(refset, pos, type): what the nearest descriptor at or above each reference set declares; disagreeing ones are refused.
 
-    ``tables`` has (refset, file), one row per reference set; ``descriptors`` (refset, type, pos).
+    ``descriptors`` has (refset, type, pos).
     """
     near = descriptors.select(F.col("refset").alias("ancestor")).distinct()
-    reach = tables.select("refset").join(near.withColumnRenamed("ancestor", "refset"), "refset", "left_semi").select("refset", F.col("refset").alias("ancestor"), F.lit(0).alias("depth"))
-    reach = reach.unionByName(closure.join(near, "ancestor", "left_semi").select(F.col("descendant").alias("refset"), "ancestor", "depth").join(tables.select("refset"), "refset", "left_semi"))
+    reach = refsets.select("refset").join(near.withColumnRenamed("ancestor", "refset"), "refset", "left_semi").select("refset", F.col("refset").alias("ancestor"), F.lit(0).alias("depth"))
+    reach = reach.unionByName(closure.join(near, "ancestor", "left_semi").select(F.col("descendant").alias("refset"), "ancestor", "depth").join(refsets.select("refset"), "refset", "left_semi"))
     least = reach.groupBy("refset").agg(F.min("depth").alias("depth"))
     owners = reach.join(least, ["refset", "depth"]).select("refset", "ancestor")
-    typed = owners.join(descriptors.select(F.col("refset").alias("ancestor"), "type", "pos"), "ancestor").filter("pos > 0").groupBy("refset", "pos").agg(F.collect_set("type").alias("types"))
-    _check(typed.filter(F.size("types") > 1).select("refset"), "nearest descriptors disagree for the reference set")
+    typed = cut(owners.join(descriptors.select(F.col("refset").alias("ancestor"), "type", "pos"), "ancestor").groupBy("refset", "pos").agg(F.collect_set("type").alias("types")))
+    check(typed.filter(F.size("types") > 1).select("refset"), "nearest descriptors disagree for the reference set")
+    return typed.select("refset", "pos", F.col("types")[0].alias("type"))
+
+
+def _under(closure: DataFrame, bases: DataFrame) -> DataFrame:
+    """``bases`` (base, ...) with (type) of everything at or below them."""
+    below = closure.select(F.col("ancestor").alias("base"), F.col("descendant").alias("type")).unionByName(bases.select("base", F.col("base").alias("type")))
+    return below.join(bases, "base")
+
+
+def member_kinds(spark: SparkSession, tables: DataFrame, declared: DataFrame, closure: DataFrame, files: list[tuple[str, list[str]]], check: Callable = _check) -> DataFrame:
+    """(refset, pos, field, kind): kinds by the nearest descriptor above, else by the letters of the file name.
+
+    ``tables`` has (refset, file), one row per reference set; ``declared`` is of :func:`nearest_descriptors`.
+    """
     kinds = spark.createDataFrame([(k, i) for k, i in DATATYPES], "kind string, base bigint")
-    under = closure.select(F.col("ancestor").alias("base"), F.col("descendant").alias("type")).unionByName(kinds.select("base", F.col("base").alias("type")))
-    named = kinds.withColumn("order", F.lit(0)).join(under, "base").groupBy("type").agg(F.min("kind").alias("kind"))
-    described = typed.select("refset", (F.col("pos") - 1).alias("pos"), F.col("types")[0].alias("type")).join(named, "type", "left").select("refset", "pos", F.col("kind").alias("described"))
-    own = [(f, i, c, LETTERS[re.match(r"der2_([cis]*)Refset", f).group(1)[i : i + 1] or "s"]) for f, cs in files for i, c in enumerate(cs)]
+    named = _under(closure, kinds).groupBy("type").agg(F.min("kind").alias("kind"))
+    described = declared.filter("pos > 0").select("refset", (F.col("pos") - 1).alias("pos"), "type").join(named, "type", "left").select("refset", "pos", F.col("kind").alias("described"))
+    own = [(f, i, c, LETTERS[re.match(r"der2_([cis]*)Refset", f).group(1)[i : i + 1]]) for f, cs in files for i, c in enumerate(cs)]
     letters = spark.createDataFrame(own, "file string, pos int, field string, letter string")
+    counts = spark.createDataFrame([(f, len(cs)) for f, cs in files], "file string, n int")
+    entries = declared.groupBy("refset").agg(F.count(F.lit(1)).alias("entries"))
+    check(tables.join(counts, "file").join(entries, "refset").filter("entries <> n + 1").select("refset"), "descriptor and column count differ for the reference set")
     joined = tables.join(letters, "file").join(described, ["refset", "pos"], "left")
     kind = F.when(F.lower("field") == "grouped", "boolean").when(F.lower("field").isin("sourceeffectivetime", "targeteffectivetime"), "time").otherwise(F.coalesce("described", "letter"))
     return joined.select("refset", "pos", "field", kind.alias("kind"))
 
 
-def import_snapshot(spark: SparkSession, path: str, work: str, config: Config | None = None, expected_date: int | None = None, expected_checksum: str | None = None, progress: Callable[[str], None] = lambda stage: None) -> Catalog:
+def refset_domains(kinds_of_rows: DataFrame, descriptors: DataFrame, declared: DataFrame, closure: DataFrame) -> DataFrame:
+    """(refset, concept_based) by what the nearest descriptor declares of referenced components; a generic type, or none, leaves it to the rows.
+
+    ``kinds_of_rows`` has (refset, of_concepts, of_others), numbers of rows of every status. A declared reference set without rows counts.
+    """
+    bases = descriptors.sparkSession.createDataFrame([(CONCEPT_TYPE, True), (DESCRIPTION_TYPE, False), (RELATIONSHIP_TYPE, False)], "base bigint, says boolean")
+    said = declared.filter("pos = 0").join(_under(closure, bases).select("type", "says"), "type").groupBy("refset").agg(F.min("says").alias("says"))
+    every = kinds_of_rows.select("refset").unionByName(descriptors.select("refset")).distinct()
+    both = every.join(kinds_of_rows, "refset", "left").join(said, "refset", "left")
+    by_rows = F.coalesce((F.col("of_concepts") > 0) | (F.col("of_others") == 0), F.lit(True))
+    return both.select("refset", F.coalesce("says", by_rows).alias("concept_based"))
+
+
+def edition_uris(catalog_concept: DataFrame, dependencies: DataFrame, date: int | None) -> tuple[list[str], int]:
+    """Edition URIs that the module dependencies support, those first that no other module depends on, and the number of these.
+
+    A module stands for an edition if its own dependency row carries the package's date.
+    """
+    rows = dependencies.filter("active").select("module_id", "referenced", F.col("source_time").cast("int").alias("t")).distinct()
+    own = rows.filter(F.col("t") == F.lit(date)).select("module_id").distinct()
+    needed = rows.filter("module_id <> referenced").select(F.col("referenced").alias("module_id")).distinct().withColumn("needed", F.lit(True))
+    found = own.join(needed, "module_id", "left").join(catalog_concept.select(F.col("concept_id").alias("module_id")), "module_id", "left_semi").orderBy(F.col("needed").isNotNull(), "module_id").limit(1000).collect()
+    return [f"http://snomed.info/sct/{r['module_id']}/version/{date}" for r in found], sum(r["needed"] is None for r in found)
+
+
+EDITION = re.compile(r"http://snomed\.info/sct/([0-9]+)/version/([0-9]{8})")
+
+
+def import_snapshot(spark: SparkSession, path: str, work: str | None = None, config: Config | None = None, expected_date: int | None = None, expected_checksum: str | None = None, progress: Callable[[str], None] = lambda stage: None, edition: str | None = None, base: Catalog | None = None) -> Catalog:
     """A catalog of the archive's rows, every rule of the release format checked.
 
-    ``work`` is a folder that all executors can read; files are extracted to it. The result is
-    written with :func:`conceptmill.catalog.save`.
+    Files of a ZIP are copied to ``work``, by default a folder in the shared checkpoint folder. The result is
+    written with :func:`conceptmill.catalog.save`. ``edition`` is a versioned edition URI, whose date must be the package's.
+    With a ``base`` the archive is a supplement: it need not have all files or a package date (``expected_date`` says it), may
+    refer to the base's concepts, and holds simple reference sets and the concepts, is-a links and descriptions that define them;
+    :func:`add_refsets` puts both together.
     """
     progress("inspect")
     seen = inspect(path)
-    if seen.missing or seen.duplicated:
-        raise ImportFailure(f"missing: {seen.missing}; more than once: {seen.duplicated}")
+    if base is None and not seen.importable:
+        raise ImportFailure(f"missing: {seen.missing}; more than once: {seen.duplicated}; merged packages cannot be imported")
+    if base is not None and not any(PurePosixPath(n).name.startswith(SIMPLE_REFSET) for n in seen.files["refset"]):
+        raise ImportFailure("a supplement needs a simple reference set file")
     if expected_checksum and seen.checksum != expected_checksum:
         raise ImportFailure("the checksum differs")
-    if expected_date and seen.date != expected_date:
+    date = expected_date if base is not None else seen.date
+    if date is None:
+        raise ImportFailure("the release states no date")
+    if expected_date and date != expected_date:
         raise ImportFailure(f"the release is of {seen.date}")
-    a = Archive(spark, path, work)
+    if edition and (not (told_edition := EDITION.fullmatch(edition)) or int(told_edition.group(2)) != date):
+        raise ImportFailure(f"{edition} is no edition of {date}")
+    a, check = Archive(spark, path, work), Checks()
+    every = lambda prefix: reduce(DataFrame.unionByName, [a.core(prefix, n) for n in seen.files[prefix]]) if seen.files[prefix] else spark.createDataFrame([], ", ".join(f"{c} string" for c in COLUMNS[prefix].split()))
+
+    def not_newer(df: DataFrame, what: str, column: str = "effective_time") -> None:
+        check(df.filter(F.col(column) > date), f"{what} newer than the release")
 
     progress("concepts")
-    concept = a.core("sct2_Concept_", seen.files["sct2_Concept_"][0]).select(_long("id").alias("concept_id"), _long("moduleId").alias("module_id"), _date("effectiveTime").alias("effective_time"), _active().alias("active"), (_long("definitionStatusId") == fixed.DEFINED).alias("defined"))
+    concept = every("sct2_Concept_").select(_long("id").alias("concept_id"), _long("moduleId").alias("module_id"), _date("effectiveTime").alias("effective_time"), _active().alias("active"), F.when(_long("definitionStatusId").isin(fixed.DEFINED, fixed.PRIMITIVE), _long("definitionStatusId") == fixed.DEFINED).otherwise(F.raise_error(F.concat(F.lit("no definition status: "), F.col("definitionStatusId")))).alias("defined"))
     concept = cut(concept)
-    _check(concept.groupBy("concept_id").count().filter("count > 1"), "a concept has two rows")
-    if seen.date:
-        _check(concept.filter(F.col("effective_time") > seen.date), "newer than the release")
-    ids, active = concept.select("concept_id"), concept.filter("active").select("concept_id")
+    check(concept.groupBy("concept_id").count().filter("count > 1"), "a concept has two rows")
+    not_newer(concept, "a concept is")
+    known = concept.select("concept_id", "active")
+    if base is not None:
+        check(concept.select("concept_id").join(base.concept, "concept_id", "left_semi"), "the supplement has a concept of the base")
+        known = known.unionByName(base.concept.select("concept_id", "active"))
+    elif not concept.limit(1).count():
+        raise ImportFailure("the release has no concepts")
+    ids, active = known.select("concept_id"), known.filter("active").select("concept_id")
+    absent = lambda df, column: df.select(F.col(column).alias("concept_id")).distinct().join(ids, "concept_id", "left_anti")
+    check(absent(concept, "module_id"), "a concept's module is no concept")
+    if edition:
+        check(spark.createDataFrame([(int(told_edition.group(1)),)], "concept_id bigint").join(ids, "concept_id", "left_anti"), "the edition's module is no concept")
 
     progress("relationships")
-    stated = a.core("sct2_Relationship_", seen.files["sct2_Relationship_"][0]).filter("active = '1'").filter(F.col("characteristicTypeId") == str(fixed.INFERRED))
-    rel = cut(stated.select(_long("id").alias("id"), _long("sourceId").alias("source"), F.col("relationshipGroup").cast("int").alias("grp"), _long("typeId").alias("type"), _long("destinationId").alias("target"), _long("modifierId").alias("modifier")))
-    _check(rel.filter(F.col("modifier") != fixed.SOME_MODIFIER).select("id"), "another modifier than existential")
-    _check(rel.filter((F.col("type") == fixed.IS_A) & (F.col("grp") != 0)).select("id"), "an is-a row in a group")
+    stated = every("sct2_Relationship_").filter("active = '1'").filter(F.col("characteristicTypeId") == str(fixed.INFERRED))
+    rel = cut(stated.select(_long("id").alias("id"), _date("effectiveTime").alias("effective_time"), _long("sourceId").alias("source"), F.col("relationshipGroup").cast("int").alias("grp"), _long("typeId").alias("type"), _long("destinationId").alias("target"), _long("modifierId").alias("modifier")))
+    not_newer(rel.select("id", "effective_time"), "a relationship is")
+    check(rel.filter(F.col("modifier") != fixed.SOME_MODIFIER).select("id"), "another modifier than existential")
+    check(rel.filter((F.col("type") == fixed.IS_A) & (F.col("grp") != 0)).select("id"), "an is-a row in a group")
     isa = cut(rel.filter(F.col("type") == fixed.IS_A).select(F.col("source").alias("child"), F.col("target").alias("parent")).distinct())
     for end in ("child", "parent"):
-        _check(isa.select(F.col(end).alias("concept_id")).join(active, "concept_id", "left_anti"), "an is-a row of a concept that is not active")
+        check(isa.select(F.col(end).alias("concept_id")).join(active, "concept_id", "left_anti"), "an is-a row of a concept that is not active")
     relationship = rel.filter(F.col("type") != fixed.IS_A).select("source", "grp", "type", "target")
-    _check(relationship.select(F.col("source").alias("concept_id")).join(active, "concept_id", "left_anti"), "attributes of a concept that is not active")
-    closure = build_closure(isa)
+    check(relationship.select(F.col("source").alias("concept_id")).join(active, "concept_id", "left_anti"), "attributes of a concept that is not active")
+    if base is not None:
+        check(relationship, "a supplement defines concepts by is-a rows only")
+        check(isa.select(F.col("child").alias("concept_id")).join(base.concept, "concept_id", "left_semi"), "the supplement changes the parents of a concept of the base")
+    for end in ("type", "target"):
+        check(absent(relationship, end), f"the {end} of an attribute is no concept")
+    closure = build_closure(isa if base is None else base.isa.select("child", "parent").unionByName(isa))
     turned = closure.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("descendant"))
-    _check(closure.join(turned, ["ancestor", "descendant"], "left_semi"), "a concept is below itself")
-    _check(isa.filter("child = parent"), "a concept is below itself")
+    check(closure.join(turned, ["ancestor", "descendant"], "left_semi"), "a concept is below itself")
+    check(isa.filter("child = parent"), "a concept is below itself")
 
     progress("concrete values")
-    concrete = spark.createDataFrame([], fixed.SCHEMAS["concrete"])
-    ids_used = rel.select("id")
-    for name in seen.files["sct2_RelationshipConcreteValues_"]:
-        raw = a.core("sct2_RelationshipConcreteValues_", name).filter("active = '1'").filter(F.col("characteristicTypeId") == str(fixed.INFERRED))
-        v = F.col("value")
-        kind = F.when(v.startswith("#"), "number").when(v.rlike('^".*"$'), "text").when(F.lower(v).isin("true", "false"), "boolean").otherwise(F.raise_error(F.concat(F.lit("no concrete value: "), v)))
-        canon = F.when(v.startswith("#"), decimals.canonical_column(F.substring(v, 2, 1 << 20))).when(v.rlike('^".*"$'), F.regexp_replace(F.regexp_replace(v, '^"|"$', ""), r"\\(.)", "$1")).otherwise(F.lower(v))
-        rows = raw.select(_long("sourceId").alias("source"), F.col("relationshipGroup").cast("int").alias("grp"), _long("typeId").alias("type"), kind.alias("kind"), canon.alias("canon"))
-        concrete = cut(rows.withColumn("num_key", F.when(F.col("kind") == "number", decimals.key_column(F.col("canon")))))
-        ids_used = ids_used.unionByName(raw.select(_long("id").alias("id")))
-    _check(ids_used.groupBy("id").count().filter("count > 1"), "a relationship id is used twice")
+    raw = every("sct2_RelationshipConcreteValues_").filter("active = '1'").filter(F.col("characteristicTypeId") == str(fixed.INFERRED))
+    if base is not None:
+        check(raw.select("id"), "a supplement defines concepts by is-a rows only")
+    v = F.col("value")
+    kind = F.when(v.startswith("#"), "number").when(v.rlike('^".*"$'), "text").when(F.lower(v).isin("true", "false"), "boolean").otherwise(F.raise_error(F.concat(F.lit("no concrete value: "), v)))
+    canon = F.when(v.startswith("#"), decimals.canonical_column(F.substring(v, 2, 1 << 20))).when(v.rlike('^".*"$'), F.regexp_replace(F.regexp_replace(v, '^"|"$', ""), r"\\(.)", "$1")).otherwise(F.lower(v))
+    literal = raw.select(_long("id").alias("id"), _date("effectiveTime").alias("effective_time"), _long("modifierId").alias("modifier"), _long("sourceId").alias("source"), F.col("relationshipGroup").cast("int").alias("grp"), _long("typeId").alias("type"), kind.alias("kind"), canon.alias("canon"))
+    literal = cut(literal.withColumn("num_key", F.when(F.col("kind") == "number", decimals.key_column(F.col("canon")))))
+    not_newer(literal.select("id", "effective_time"), "a concrete value is")
+    check(literal.filter(F.col("modifier") != fixed.SOME_MODIFIER).select("id"), "another modifier than existential")
+    concrete = literal.select("source", "grp", "type", "kind", "canon", "num_key")
+    check(rel.select("id").unionByName(literal.select("id")).groupBy("id").count().filter("count > 1"), "a relationship id is used twice")
+
+    check.settle()
 
     progress("reference sets")
     repairs: list[str] = []
     names = seen.files["refset"]
     language = [n for n in names if "Refset_Language" in n]
-    typed, files = _members(a, [n for n in names if n not in language], repairs)
+    dependency = [n for n in names if PurePosixPath(n).name.startswith(DEPENDENCIES)]
+    chosen = [n for n in names if n not in language] if base is None else [n for n in names if PurePosixPath(n).name.startswith(SIMPLE_REFSET)]
+    typed, files = _members(a, chosen, repairs)
     typed = cut(typed) if typed is not None else spark.createDataFrame([], "member_id string, file string, " + fixed.SCHEMAS["member"])
-    _check(typed.groupBy("member_id").count().filter("count > 1"), "a member id is used twice")
+    check(typed.groupBy("member_id").count().filter("count > 1"), "a member id is used twice")
+    check(typed.filter(~F.col("member_id").rlike(UUID)).select("member_id"), "a member id is no UUID")
+    not_newer(typed.select("member_id", "effective_time"), "a member is")
     tables = cut(typed.groupBy("refset").agg(F.count_distinct("file").alias("n"), F.min("file").alias("file")))
-    _check(tables.filter("n > 1"), "a reference set is in two files")
+    check(tables.filter("n > 1"), "a reference set is in two files")
+    for end in ("refset", "module_id"):
+        check(absent(typed, end), f"the {end} of a member is no concept")
+    if base is not None:
+        check(tables.select("refset").join(base.member.select("refset").distinct(), "refset", "left_semi"), "the supplement has rows of a reference set of the base")
+        check(typed.filter(~is_concept_id(F.col("referenced"))).select("member_id"), "a supplement holds reference sets of concepts only")
     lost = typed.filter(F.col("active") & is_concept_id(F.col("referenced"))).select(F.col("referenced").alias("concept_id")).join(ids, "concept_id", "left_anti")
-    _check(lost, "a member refers to a concept that does not exist")
+    check(lost, "a member refers to a concept that does not exist")
     value = lambda n: F.try_element_at("fields", F.lit(n))
-    descriptors = typed.filter(F.col("file").contains("RefsetDescriptor") & F.col("active")).select(F.col("referenced").alias("refset"), value("attributeType").cast("bigint").alias("type"), value("attributeOrder").cast("int").alias("pos"))
-    kinds = cut(member_kinds(spark, tables.select("refset", "file"), cut(descriptors), closure, files))
-    member = typed.select("refset", "row_no", "effective_time", "active", "module_id", "referenced", "fields")
-    # what position 0 of the descriptor declares: concepts, other components, or nothing certain
-    bases = spark.createDataFrame([(CONCEPT_TYPE, True), (DESCRIPTION_TYPE, False), (RELATIONSHIP_TYPE, False)], "base bigint, of_concepts boolean")
-    below = closure.select(F.col("ancestor").alias("base"), F.col("descendant").alias("type")).unionByName(bases.select("base", F.col("base").alias("type")))
-    declared = descriptors.filter("pos = 0").join(below.join(bases, "base"), "type").groupBy("refset").agg(F.min("of_concepts").alias("declared"))
+    descriptors = cut(typed.filter(F.col("file").contains("RefsetDescriptor") & F.col("active")).select(F.col("referenced").alias("refset"), value("attributeType").cast("bigint").alias("type"), value("attributeOrder").cast("int").alias("pos")))
+    declared = nearest_descriptors(tables.select("refset").unionByName(descriptors.select("refset")).distinct(), descriptors, closure, check)
+    kinds = cut(member_kinds(spark, tables.select("refset", "file"), declared, closure, files, check))
+    # rows that refer to other components than concepts count for the domain only
+    member = typed.filter(is_concept_id(F.col("referenced"))).select("refset", "row_no", "effective_time", "active", "module_id", "referenced", "fields")
+    component = F.pmod(F.floor(F.col("referenced") / 10), F.lit(10))
+    counted = lambda test: F.count(F.when(test, 1))
+    row_kinds = typed.groupBy("refset").agg(counted(is_concept_id(F.col("referenced"))).alias("of_concepts"), counted(~is_concept_id(F.col("referenced"))).alias("of_others"))
+
+    progress("module dependencies")
+    dependencies, _ = _members(a, dependency, [])
+    if dependencies is not None:
+        time = lambda n: F.coalesce(value(n), F.lit(""))
+        dependencies = cut(dependencies.select("member_id", "effective_time", "active", "module_id", "referenced", time("sourceEffectiveTime").alias("source_time"), time("targetEffectiveTime").alias("target_time")))
+        not_newer(dependencies.select("member_id", "effective_time"), "a module dependency is")
+        for end in ("module_id", "referenced"):
+            check(absent(dependencies.filter("active"), end), "the package is not self-contained: a module that another depends on is no concept")
+        if base is not None and base.manifest.get("date"):
+            check(dependencies.filter("active").filter(F.col("target_time").try_cast("int") > base.manifest["date"]).filter(F.col("module_id") != F.col("referenced")).select("member_id"), "the supplement depends on a newer base")
+
+    check.settle()
 
     progress("descriptions")
-    parts = [a.core(p, n) for p in ("sct2_Description_", "sct2_TextDefinition_") for n in seen.files[p]]
-    raw = reduce(DataFrame.unionByName, parts)
+    raw = every("sct2_Description_").unionByName(every("sct2_TextDefinition_"))
     text = cut(raw.select(_long("id").alias("description_id"), _long("conceptId").alias("concept_id"), _long("moduleId").alias("module_id"), _long("typeId").alias("type_id"), _date("effectiveTime").alias("effective_time"), _active().alias("active"), F.col("languageCode").alias("language"), "term"))
-    _check(text.groupBy("description_id").count().filter("count > 1"), "a description has two rows")
-    _check(text.filter("term = ''").select("description_id"), "an empty term")
-    _check(text.filter(~F.col("language").rlike("^[a-z]{2}$")).select("description_id"), "a language code is not two lower-case letters")
+    check(text.groupBy("description_id").count().filter("count > 1"), "a description has two rows")
+    not_newer(text.select("description_id", "effective_time"), "a description is")
+    check(text.filter("term = ''").select("description_id"), "an empty term")
+    check(text.filter(~F.col("language").rlike("^[a-z]{2}$")).select("description_id"), "a language code is not two lower-case letters")
+    check(absent(text, "concept_id"), "a description of no concept")
+    if base is not None:
+        check(text.select("concept_id").join(base.concept, "concept_id", "left_semi"), "the supplement changes the descriptions of a concept of the base")
     spoken, _ = _members(a, language, repairs)
-    domain = typed.groupBy("refset").agg(F.max(is_concept_id(F.col("referenced"))).alias("by_rows"))
+    none = F.lit(None).cast("array<struct<refset:bigint,acceptability:bigint>>")
     if spoken is not None:
         spoken = cut(spoken)
-        _check(spoken.filter("active").select(F.col("referenced").alias("description_id")).join(text, "description_id", "left_anti"), "a language member of no description")
+        check(spoken.groupBy("member_id").count().filter("count > 1"), "a language member id is used twice")
+        not_newer(spoken.select("member_id", "effective_time"), "a language member is")
+        check(spoken.filter("active").select(F.col("referenced").alias("description_id")).join(text, "description_id", "left_anti"), "a language member of no description")
         tagged = spoken.filter("active").groupBy(F.col("referenced").alias("description_id")).agg(F.collect_set(F.struct("refset", value("acceptabilityId").cast("bigint").alias("acceptability"))).alias("dialects"))
         description = text.join(tagged, "description_id", "left")
-        domain = domain.unionByName(spoken.select("refset", F.lit(False).alias("by_rows")).distinct())
+        row_kinds = row_kinds.unionByName(spoken.groupBy("refset").agg(F.lit(0).cast("long").alias("of_concepts"), F.count(F.lit(1)).alias("of_others")))
     else:
-        description = text.withColumn("dialects", F.lit(None).cast("array<struct<refset:bigint,acceptability:bigint>>"))
+        description = text.withColumn("dialects", none)
     description = description.withColumn("dialects", F.coalesce("dialects", F.array().cast("array<struct<refset:bigint,acceptability:bigint>>")))
-    domain = domain.join(declared, "refset", "full").select("refset", F.coalesce("declared", "by_rows").alias("concept_based"))
+    domain = cut(refset_domains(row_kinds, descriptors, declared, closure))
 
     progress("identifiers")
     parts = [spark.createDataFrame([], fixed.SCHEMAS["identifier"])]
@@ -289,17 +450,31 @@ def import_snapshot(spark: SparkSession, path: str, work: str, config: Config |
             raise ImportFailure(f"{name}: the header has another order")
         parts.append(a.rows(name, order.split()).select(_long("identifierSchemeId").alias("scheme"), F.col("alternateIdentifier").alias("code"), _long("referencedComponentId").alias("component"), _long("moduleId").alias("module_id"), _date("effectiveTime").alias("effective_time"), _active().alias("active")))
     identifier = cut(reduce(DataFrame.unionByName, parts))
-    _check(identifier.groupBy("scheme", "code").count().filter("count > 1").select("code"), "an identifier is there twice")
-    _check(identifier.filter(F.col("code").rlike("[\\x00-\\x1f\\x7f]")).select("code"), "an identifier with control characters")
+    whole = identifier.select("scheme", "code") if base is None else identifier.select("scheme", "code").unionByName(base.identifier.select("scheme", "code"))
+    check(whole.groupBy("scheme", "code").count().filter("count > 1").select("code"), "an identifier is there twice")
+    check(identifier.filter(F.col("code").rlike("[\\x00-\\x1f\\x7f]")).select("code"), "an identifier with control characters")
+    not_newer(identifier.select("code", "effective_time"), "an identifier is")
+    for end in ("scheme", "module_id"):
+        check(absent(identifier, end), f"the {end} of an identifier is no concept")
+    check(absent(identifier.filter(F.col("active") & is_concept_id(F.col("component"))), "component"), "an identifier refers to a concept that does not exist")
+
+    check.settle()
 
     progress("history")
     kinds_of_history = closure.filter(F.col("ancestor") == fixed.ASSOCIATIONS).select(F.col("descendant").alias("refset"))
     told = member.filter("active").join(kinds_of_history, "refset", "left_semi").select("refset", F.col("referenced").alias("source"), value("targetComponentId").cast("bigint").alias("target")).distinct()
-    known = lambda df, end: df.join(ids.withColumnRenamed("concept_id", end), end, "left_semi")
-    association = known(known(told, "source"), "target").select("refset", "source", "target")
-
-    manifest = {"date": seen.date, "archive_sha256": seen.checksum, "header_repairs": repairs, "concept_count": concept.count(), "active_concept_count": active.count(), "history_skipped": told.count() - association.count()}
-    made = {"concept": concept, "isa": isa, "closure": closure, "relationship": relationship, "concrete": concrete, "member": member, "member_schema": kinds, "refset_domain": domain, "description": description, "association": association, "identifier": identifier}
+    resolved = lambda df, end: df.join(ids.withColumnRenamed("concept_id", end), end, "left_semi")
+    association = resolved(resolved(told, "source"), "target").select("refset", "source", "target")
+
+    uris, roots = edition_uris(ids, dependencies, date) if dependencies is not None else ([], 0)
+    rows_of = typed.agg(counted(is_concept_id(F.col("referenced"))), counted(component == 1), counted(component == 2)).first()
+    manifest = {
+        "date": date, "archive_sha256": seen.checksum, "header_repairs": repairs, "concept_count": concept.count(), "active_concept_count": concept.filter("active").count(), "history_skipped": told.count() - association.count(),
+        "edition": edition or (uris[0] if roots == 1 else None), "edition_uris": uris, "root_editions": roots, "member_rows": dict(zip(("concept", "description", "relationship"), rows_of)),
+    }
+    made = {"concept": concept, "isa": isa, "relationship": relationship, "concrete": concrete, "member": member, "member_schema": kinds, "refset_domain": domain, "description": description, "association": association, "identifier": identifier}
+    if base is None:
+        made["closure"] = closure
     progress("done")
     return Catalog(spark, {k: (lambda v=v: v) for k, v in made.items()}, config, manifest)
 
@@ -320,8 +495,11 @@ def edition_candidates(catalog: Catalog) -> DataFrame:
 def add_refsets(base: Catalog, extra: Catalog) -> Catalog:
     """The base with the reference sets, new concepts and is-a links of a supplement; nothing of the base may change.
 
-    A reference set, concept or description of both is a conflict; the closure is built anew.
+    A reference set, concept or description of both, or an archive that is in already, is a conflict; the closure is built anew.
     """
+    checksum = extra.manifest.get("archive_sha256")
+    if checksum and checksum in [base.manifest.get("archive_sha256"), *(s.get("archive_sha256") for s in base.manifest.get("supplements", []))]:
+        raise ImportFailure("this supplement is in the base already")
     for name, key in (("concept", "concept_id"), ("description", "description_id")):
         _check(getattr(extra, name).select(key).join(getattr(base, name), key, "left_semi"), f"the supplement has a {name} of the base")
     _check(extra.member.select("refset").distinct().join(base.member.select("refset").distinct(), "refset", "left_semi"), "the supplement has rows of a reference set of the base")
@@ -331,5 +509,6 @@ def add_refsets(base: Catalog, extra: Catalog) -> Catalog:
     for end in ("child", "parent"):
         _check(isa.select(F.col(end).alias("concept_id")).join(ends, "concept_id", "left_anti"), "an is-a row of a concept that is not active")
     sources["isa"] = lambda: isa
-    supplements = [*base.manifest.get("supplements", []), {k: extra.manifest.get(k) for k in ("date", "archive_sha256")}]
-    return Catalog(base.spark, sources, base.config, {**base.manifest, "supplements": supplements})
+    supplements = [*base.manifest.get("supplements", []), {"date": extra.manifest.get("date"), "archive_sha256": checksum, "added_concepts": extra.manifest.get("concept_count")}]
+    counts = {n: (base.manifest.get(n) or 0) + (extra.manifest.get(n) or 0) for n in ("concept_count", "active_concept_count") if n in base.manifest}
+    return Catalog(base.spark, sources, base.config, base.manifest | counts | {"supplements": supplements})
