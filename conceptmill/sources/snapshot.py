@@ -69,7 +69,25 @@ def sha256_of(path: str) -> str:
     return digest.hexdigest()
 
 
+def _far(path: str) -> bool:
+    """Whether a folder lies in another file system than the driver's."""
+    return "://" in path and not path.startswith("file://")
+
+
+def _opened(path: str, name: str | None = None):
+    """A far file system and a path in it."""
+    spark = SparkSession.getActiveSession()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path if name is None else f"{path}/{name}")
+    return spark._jvm, at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def _names(path: str) -> list[str]:
+    if _far(path):
+        _, fs, at = _opened(path)
+        found, out, root = fs.listFiles(at, True), [], fs.makeQualified(at).toString()
+        while found.hasNext():
+            out.append(found.next().getPath().toString()[len(root) + 1 :])
+        return out
     if zipfile.is_zipfile(path):
         with zipfile.ZipFile(path) as z:
             return [n for n in z.namelist() if not n.endswith("/")]
@@ -77,17 +95,27 @@ def _names(path: str) -> list[str]:
     return [p.relative_to(root).as_posix() for p in root.rglob("*") if p.is_file()]
 
 
-def _start(path: str, name: str, size: int) -> bytes:
-    """The first bytes of a file of the archive, up to its first line break."""
+def _start(path: str, name: str) -> str:
+    """The first line of a file of the archive; of a far one without a limit to its length."""
+    if _far(path):
+        jvm, fs, at = _opened(path, name)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(at), "UTF-8"))
+        line = reader.readLine() or ""
+        reader.close()
+        return line.removeprefix("\ufeff")
     if zipfile.is_zipfile(path):
         with zipfile.ZipFile(path) as z, z.open(name) as f:
-            return f.readline(size)
-    with open(Path(path) / name, "rb") as f:
-        return f.readline(size)
+            line = f.readline(LINE_LIMIT)
+    else:
+        with open(Path(path) / name, "rb") as f:
+            line = f.readline(LINE_LIMIT)
+    return line.decode("utf-8-sig").rstrip("\r\n")
 
 
 def _package_date(path: str, name: str) -> int | None:
-    if zipfile.is_zipfile(path):
+    if _far(path):
+        text = _start(path, name)
+    elif zipfile.is_zipfile(path):
         with zipfile.ZipFile(path) as z, z.open(name) as f:
             text = f.read(1 << 20)
     else:
@@ -98,6 +126,10 @@ def _package_date(path: str, name: str) -> int | None:
         return None
 
 
+def local(path: str) -> str:
+    return path.removeprefix("file://")
+
+
 def inspect(path: str) -> Inspection:
     """File names by kind, the release date that the package states, and what is missing or there twice."""
     every = _names(path)
@@ -105,7 +137,7 @@ def inspect(path: str) -> Inspection:
     files: dict[str, list[str]] = {p: sorted(n for n in snapshot if PurePosixPath(n).name.startswith(p)) for p in [*COLUMNS, *REQUIRED, "sct2_Identifier_"]}
     files["refset"] = sorted(n for n in snapshot if re.match(r"der2_[cis]*Refset_", PurePosixPath(n).name))
     files[PACKAGE] = sorted(n for n in every if PurePosixPath(n).name == PACKAGE)
-    checksum = sha256_of(path) if Path(path).is_file() else ""
+    checksum = sha256_of(path) if not _far(path) and Path(path).is_file() else ""
     date = _package_date(path, files[PACKAGE][0]) if len(files[PACKAGE]) == 1 else None
     needed = [*REQUIRED, PACKAGE]
     return Inspection(checksum, date, files, [p for p in needed if not files[p]], [p for p in needed if len(files[p]) > 1])
@@ -116,12 +148,14 @@ class Archive:
 
     def __init__(self, spark: SparkSession, path: str, work: str | None = None):
         self.spark, self.path, self.work = spark, path, work or f"{run_folder(spark)}/import-{uuid.uuid4().hex}"
-        self.zip = zipfile.ZipFile(path) if zipfile.is_zipfile(path) else None
+        self.zip = zipfile.ZipFile(path) if not _far(path) and zipfile.is_zipfile(path) else None
 
     def first_line(self, name: str) -> str:
-        return _start(self.path, name, LINE_LIMIT).decode("utf-8-sig").rstrip("\r\n")
+        return _start(self.path, name)
 
     def place(self, name: str) -> str:
+        if _far(self.path):
+            return f"{self.path}/{name}"
         if not self.zip:
             return f"file://{Path(self.path).absolute() / name}"
         target = f"{self.work}/{uuid.uuid5(uuid.NAMESPACE_URL, name).hex}.txt"
@@ -300,6 +334,7 @@ def import_snapshot(spark: SparkSession, path: str, work: str | None = None, con
     :func:`add_refsets` puts both together.
     """
     progress("inspect")
+    path = local(path)
     seen = inspect(path)
     if base is None and not seen.importable:
         raise ImportFailure(f"missing: {seen.missing}; more than once: {seen.duplicated}; merged packages cannot be imported")
