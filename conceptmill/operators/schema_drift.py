@@ -167,8 +167,12 @@ def match_columns(columns: DataFrame, steps: DataFrame, profiles: DataFrame, lin
     per_member = sent.groupBy("edge", "member").agg(F.min(new).alias("n0"), F.max(new).alias("n1"), F.min(old).alias("o0"), F.max(old).alias("o1")).filter(F.col("n0").isNotNull() & F.col("o0").isNotNull())
     same = (F.col("n0") == F.col("n1")) & (F.col("o0") == F.col("o1")) & (F.col("n0") == F.col("o0"))
     proven = per_member.groupBy("edge").agg(F.min(same.cast("int")).alias("same"), F.max((F.col("n0") != "").cast("int")).alias("some")).filter((F.col("same") == 1) & (F.col("some") == 1)).select("edge")
-    weighted = candidates.join(proven, "edge", "left_semi").drop("edge")
-    return weighted.groupBy("file").applyInPandas(_assign, weighted.select("file", "previous", "name", "old_name").schema)
+    weighted = cut(candidates.join(proven, "edge", "left_semi").drop("edge"))
+    # where no column has two edges the matching is all of them; only the other headers are searched for the best one
+    shared = weighted.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("new"), F.count_distinct("old_name").alias("old")).filter("n > new OR n > old").select("file")
+    matched = weighted.select("file", "previous", "name", "old_name")
+    settled = weighted.join(shared, "file", "left_semi").groupBy("file").applyInPandas(_assign, matched.schema)
+    return matched.join(shared, "file", "left_anti").unionByName(settled)
 
 
 def find_drift(files: DataFrame, lines: DataFrame) -> Drift:
