@@ -267,3 +267,47 @@ def test_profile_types(spark):
     df = spark.createDataFrame([(1, n, f"m{i}", v) for i, (n, v) in enumerate(data)], "file long, name string, member string, value string")
     assert {r.name: r.type for r in schema_drift.profile(df).collect()} == {"i": "integer", "d": "decimal", "b": "boolean", "t": "text", "e": None}
     assert df.filter(F.lit(False)).count() == 0
+
+
+def test_running_counts_go_on_from_stored_ones(spark):
+    """Two periods one after the other report what both at once do; a reference counts at its own date only."""
+    from conceptmill.operators.orphan_references import counts_after, existence_deltas, orphan_keys, reference_deltas, running_counts
+
+    states = [("a", 10, 1), ("a", 30, 0), ("b", 25, 1), ("c", None, 1)]
+    refs = [("a", 5), ("a", 10), ("a", 30), ("a", 30), ("b", 20), ("b", 30), ("c", 5), ("d", 20), ("d", 20), (None, 5), ("e", None)]
+    frame = lambda data: spark.createDataFrame(data, "key string, at int")
+    deltas = lambda data: existence_deltas(spark.createDataFrame(data, "key string, at int, active int"), "key", "at", "active")
+    whole = {tuple(r) for r in orphan_keys(frame(refs), deltas(states)).collect()}
+    assert whole == {("a", 5, 1, "late"), ("a", 30, 2, "deleted"), ("b", 20, 1, "late"), ("d", 20, 2, "missing")}
+    every = running_counts(reference_deltas(frame(refs)), deltas(states)).collect()
+    assert all(r.refs == 0 for r in every if r.step == 1) and {(r.key, r.at, r.refs) for r in every if r.step == 0 and r.refs} == {(k, t, sum(x == (k, t) for x in refs)) for k, t in refs if k and t}
+    early = deltas([s for s in states if (s[1] or 0) <= 20])
+    before = counts_after(reference_deltas(frame([x for x in refs if x[1] and x[1] <= 20])), early)
+    assert {(r.key, r.refs, r.exists) for r in before.collect()} == {("a", 0, 1), ("b", 0, 0), ("c", 0, 1), ("d", 0, 0)}
+    change = spark.createDataFrame([("a", 30, 1, -1), ("b", 25, 1, 1)], "key string, at long, seen int, exists int")
+    later = {tuple(r) for r in orphan_keys(frame([x for x in refs if x[1] == 30]), change, before).collect()}
+    assert later == {r for r in whole if r[1] == 30}
+
+
+def test_arrived_rows_and_null_keys_spread(spark):
+    """A forest of very many roots: rows without a parent go around the joins."""
+    from conceptmill.session import skew_join
+
+    left = spark.range(1000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN id END AS k")
+    right = spark.range(0, 1000, 20).selectExpr("id AS k", "'x' AS v")
+    got = skew_join(left, right, "k")
+    assert got.count() == 1000 and got.filter("v = 'x'").count() == 50 and skew_join(left, right, "k", how="inner").count() == 50
+    assert "Union" in got._jdf.queryExecution().optimizedPlan().toString()
+    links = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(500)], "c long, p long")
+    assert {(r.node, r.root, r.depth) for r in hierarchy.roots_and_depths(links, "c", "p").collect()} == {x for i in range(500) for x in ((2 * i, 2 * i + 1, 1), (2 * i + 1, 2 * i + 1, 0))}
+
+
+def test_chunks_follow_the_input(spark, monkeypatch):
+    from conceptmill.operators import tree_aggregate
+
+    monkeypatch.setattr(tree_aggregate, "CHUNK_ROWS", 64)
+    df = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 7) END AS k", "id % 1500 AS m")
+    want = {}
+    for r in df.collect():
+        want.setdefault(r.k, set()).add(r.m)
+    assert rows(tree_count_distinct(df, ["k"], ["m"], "n"), "k", "n") == sorted(((k, len(v)) for k, v in want.items()), key=repr)
