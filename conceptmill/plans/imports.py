@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import catalog as fixed
 from ..catalog import Catalog
 from ..engine import Engine
 from ..session import run_folder
-from ..sources.release_files import write_release
-from ..sources.snapshot import import_snapshot
+from ..sources.release_files import DESCRIPTORS, write_release
+from ..sources.snapshot import MODULE_DEPENDENCY, import_snapshot
 from ..sources.star import SCHEME, cid, star_catalog
 from . import expressions
 
@@ -71,4 +72,6 @@ SELECT 'relationship' AS table_name, (SELECT count(*) FROM orders) + 2 * (SELECT
 UNION ALL SELECT 'concrete', (SELECT count(*) FROM orders) + 6 * (SELECT count(*) FROM lineitem)
 UNION ALL SELECT 'identifier', (SELECT count(*) FROM customer)
 UNION ALL SELECT 'association', (SELECT count(*) FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS f FROM documents) WHERE doc_id <> f)""",
+    "import_domains": f"SELECT unnest([{', '.join(str(cid(31, k)) for k in (1, 2, 3))}, {fixed.SAME_AS}, {MODULE_DEPENDENCY}, {DESCRIPTORS}]) AS refset, true AS concept_based UNION ALL SELECT unnest([{fixed.GB_ENGLISH}, {fixed.US_ENGLISH}]), false",
+    "import_manifest": f"SELECT 'http://snomed.info/sct/{cid(32, 3)}/version/{DATE}' AS edition, CAST({DATE} AS INTEGER) AS release_date, CAST(1 AS INTEGER) AS root_editions, CAST(0 AS BIGINT) AS history_skipped",
 }
