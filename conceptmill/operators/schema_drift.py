@@ -8,28 +8,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, lookup_join, told
+from ..session import cut, skew_join, told
 from .hierarchy import last_of_series
 
 #: The standard names of the first six header columns, by position.
 STANDARD = ["id", "effectiveTime", "active", "moduleId", "refsetId", "referencedComponentId"]
 #: Registers of a column's value sketch.
 REGISTERS = 16
+#: The bits of a register that are the member's hash; the rest are the value's.
+MEMBER_BITS = -256
 #: Characters of all header columns that may be broadcast.
-HEADER_CHARS = 16_000_000
-#: Candidate edges that may be broadcast, by number.
-EDGES = 500_000
+HEADER_CHARS = 4_000_000
+#: Candidate edges that may be broadcast, by number: some 20 MB.
+EDGES = 100_000
 TYPES = ["integer", "decimal", "boolean", "text"]
 
 
 @dataclass
 class Drift:
-    """``columns``: file, series, position, name. ``steps``: file, previous. ``values``: file, name, member, value.
+    """``columns``: file, series, position, name. ``steps``: file, previous.
     ``matches``: file, previous, name, old_name. ``profiles``: file, name, type. ``changes``: file, change_kind, field_name, old_name."""
 
     columns: DataFrame
     steps: DataFrame
-    values: DataFrame
     matches: DataFrame
     profiles: DataFrame
     changes: DataFrame
@@ -57,9 +58,9 @@ def _strip(c):
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def _cells(lines: DataFrame) -> DataFrame:
-    """(file, member, cells) of the lines that hold anything."""
-    cells = lines.filter(F.col("line").isNotNull()).select("file", F.split("line", "\t").alias("cells"))
+def _cells(lines: DataFrame, *further: str) -> DataFrame:
+    """(file, further, cells, member) of the lines that hold anything."""
+    cells = lines.filter(F.col("line").isNotNull()).select("file", *further, F.split("line", "\t").alias("cells"))
     return cells.withColumn("member", _strip(F.get("cells", F.lit(0)))).filter((F.col("member") != "") | (F.size("cells") > 1))
 
 
@@ -67,36 +68,51 @@ def _value(position) -> Column:
     return _strip(F.coalesce(F.get("cells", position), F.lit("")))
 
 
-def long_values(lines: DataFrame, columns: DataFrame) -> DataFrame:
-    """(file, name, member, value), distinct. ``lines`` has (file, line): tab-separated, unparsed.
+def cell_values(lines: DataFrame, last: int) -> DataFrame:
+    """(file, position, member, value) of the own cells up to position ``last``, and for every line an empty one at position 0. ``lines`` has (file, line): tab-separated, unparsed.
 
-    Blank lines hold nothing; a missing trailing value is empty; values beyond the header are left out.
+    Blank lines hold nothing. Headers aren't needed, so no line is moved; what a line lacks at its end is settled by :func:`filled`.
     """
-    fields = columns.groupBy("file").agg(F.collect_list(F.struct("position", "name")).alias("fields"))
-    chars = columns.agg(F.coalesce(F.sum(F.length("name") + 16), F.lit(0)).alias("n")).first()["n"]
-    joined = lookup_join(_cells(lines), fields, ["file"], max_rows=0 if chars > HEADER_CHARS else 200_000)
-    each = joined.select("file", "member", "cells", F.explode("fields").alias("f"))
-    return each.select("file", F.col("f.name").alias("name"), "member", _value(F.col("f.position")).alias("value"))
+    own = F.slice("cells", len(STANDARD) + 1, max(0, last + 1 - len(STANDARD)))
+    each = _cells(lines).select("file", "member", F.posexplode(F.concat(F.array(F.lit("")), own)).alias("n", "value"))
+    return each.select("file", F.when(F.col("n") > 0, F.col("n") + (len(STANDARD) - 1)).otherwise(0).alias("position"), "member", _strip(F.col("value")).alias("value"))
 
 
-def profile(values: DataFrame) -> DataFrame:
-    """(file, name, type, sketch) in one aggregation, copies partially removed before the shuffle.
+def profile(values: DataFrame, column: str = "name") -> DataFrame:
+    """(file, column, sketch, type) in one hash aggregation of numbers, of which each task sends one row per column.
 
-    Register j of the sketch holds the value hash of the least member hash among the members of
-    register j. As members choose the register, the sketches of two columns hold values of
+    Register j of the sketch holds the least member hash among the members of register j, its
+    last bits replaced by the value's hash. As members choose the register, the sketches of two columns hold values of
     the same members wherever the files share them: a differing value under an equal member disproves equality. A member
-    with several values is no proof of a rename, so any of them may stand in the sketch; the buffers are numbers, for a hash aggregation.
+    with several values is no proof of a rename, so any of them may stand in the sketch.
     """
-    hm, hv = F.xxhash64("member"), F.xxhash64("value")
-    v = F.col("value")
-    some = v != ""
-    least = [F.min(hm).alias("m"), F.min_by(hv, hm).alias("v")]
-    fits = [v.rlike(r"^[+-]?[0-9]+$"), v.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$"), v.rlike("^(?i)(true|false)$")]
-    by_register = values.groupBy("file", "name", F.pmod(hm, F.lit(REGISTERS)).cast("int").alias("register")).agg(
-        *least, *[F.min(F.when(some, fit.cast("int"))).alias(t) for t, fit in zip(TYPES, fits)]
-    )
-    kind = F.when(F.col("integer") == 1, "integer").when(F.col("decimal") == 1, "decimal").when(F.col("boolean") == 1, "boolean").when(F.col("integer").isNotNull(), "text")
-    return by_register.groupBy("file", "name").agg(F.map_from_entries(F.collect_list(F.struct("register", F.struct("m", "v")))).alias("sketch"), *[F.min(t).alias(t) for t in TYPES[:3]]).select("file", "name", "sketch", kind.alias("type"))
+    hm, v = F.xxhash64("member"), F.col("value")
+    kept = _member(hm).bitwiseOR(F.xxhash64("value").bitwiseAND(F.lit(~MEMBER_BITS).cast("long")))
+    fits = F.when(v == "", None).when(v.rlike(r"^[+-]?[0-9]+$"), 3).when(v.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$"), 2).when(v.rlike("^(?i)(true|false)$"), 4).otherwise(0)
+    rows = values.select("file", column, F.pmod(hm, F.lit(REGISTERS)).alias("register"), kept.alias("kept"), fits.alias("fits"))
+    registers = [F.min(F.when(F.col("register") == j, F.col("kept"))).alias(f"r{j}") for j in range(REGISTERS)]
+    profiled = rows.groupBy("file", column).agg(*registers, F.bit_and("fits").alias("fits"))
+    bit = lambda b: F.col("fits").bitwiseAND(F.lit(b)) != 0
+    kind = F.when(bit(1), "integer").when(bit(2), "decimal").when(bit(4), "boolean").when(F.col("fits").isNotNull(), "text")
+    return profiled.select("file", column, F.array(*[f"r{j}" for j in range(REGISTERS)]).alias("sketch"), kind.alias("type"))
+
+
+def _member(register: Column) -> Column:
+    return register.bitwiseAND(F.lit(MEMBER_BITS).cast("long"))
+
+
+def filled(sketch: str, base: str) -> Column:
+    """The sketch in which cells that lines lack count as empty; ``base`` is the file's sketch of an empty column, with every member."""
+    return F.zip_with(sketch, base, lambda r, b: F.when(_member(r) == _member(b), r).otherwise(b))
+
+
+def profile_columns(lines: DataFrame, columns: DataFrame, edges: DataFrame, last: int) -> DataFrame:
+    """(file, name, sketch, type) of the columns that any line reaches; only those of ``edges`` have their sketch. The row without a name is the file's empty column."""
+    sides = edges.select("file", "name").unionByName(edges.select(F.col("previous").alias("file"), F.col("old_name").alias("name"))).distinct()
+    wanted = columns.select("file", "position", "name").join(sides.withColumn("asked", F.lit(True)), ["file", "name"], "left")
+    bases = sides.select("file").distinct().select("file", F.lit(0).alias("position"), F.lit(None).cast("string").alias("name"), F.lit(True).alias("asked"))
+    profiled = profile(cell_values(lines, last), "position").join(wanted.unionByName(bases), ["file", "position"])
+    return profiled.select("file", "name", F.when(F.col("asked"), F.col("sketch")).alias("sketch"), "type")
 
 
 def name_similarity(a, b):
@@ -139,30 +155,37 @@ def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[[(o, n) in chosen for o, n in zip(pdf.old_name, pdf.name)]][["file", "previous", "name", "old_name"]]
 
 
-def match_columns(columns: DataFrame, steps: DataFrame, profiles: DataFrame, lines: DataFrame) -> DataFrame:
+def possible_edges(columns: DataFrame, steps: DataFrame) -> DataFrame:
+    """(file, previous, name, old_name): names only in the later with names only in the earlier header; their number is bounded by the header widths."""
+    names = columns.groupBy("file").agg(F.collect_set("name").alias("names"))
+    sides = steps.filter(F.col("previous").isNotNull()).join(names, "file", "left").join(names.select(F.col("file").alias("previous"), F.col("names").alias("old_names")), "previous", "left")
+    empty = F.array().cast("array<string>")
+    only = sides.select("file", "previous", F.array_except(F.coalesce("names", empty), F.coalesce("old_names", empty)).alias("new"), F.array_except(F.coalesce("old_names", empty), F.coalesce("names", empty)).alias("old"))
+    return only.select("file", "previous", "old", F.explode("new").alias("name")).select("file", "previous", "name", F.explode("old").alias("old_name"))
+
+
+def match_columns(columns: DataFrame, edges: DataFrame, profiles: DataFrame, lines: DataFrame) -> DataFrame:
     """(file, previous, name, old_name): renamed fields of consecutive files.
 
-    Nodes are the names only in the earlier and only in the later header. An edge needs agreeing
+    An edge needs agreeing
     sketches and then, exactly, equal values for every member of both files, one of them not
     empty. Edges weigh name similarity, type and sketch support; a maximum-weight matching per pair
-    of headers settles ambiguous ones. The edges of a pair are bounded by its header widths.
+    of headers settles ambiguous ones.
     """
-    names = columns.groupBy("file").agg(F.collect_set("name").alias("names"))
-    sides = steps.filter(F.col("previous").isNotNull()).join(names, "file", "left").join(names.select(F.col("file").alias("previous"), F.col("names").alias("old_names")), "previous", "left")
-    empty = F.array().cast("array<string>")
-    only = sides.select("file", "previous", F.array_except(F.coalesce("names", empty), F.coalesce("old_names", empty)).alias("new"), F.array_except(F.coalesce("old_names", empty), F.coalesce("names", empty)).alias("old"))
-    edges = only.select("file", "previous", "old", F.explode("new").alias("name")).select("file", "previous", "name", F.explode("old").alias("old_name"))
-    slim = profiles.filter(F.col("type").isNotNull())
-    sketched = edges.join(slim.select("file", "name", "sketch", "type"), ["file", "name"]).join(slim.select(F.col("file").alias("previous"), F.col("name").alias("old_name"), F.col("sketch").alias("old_sketch"), F.col("type").alias("old_type")), ["previous", "old_name"])
-    both = F.filter(F.map_keys("sketch"), lambda r: F.try_element_at("old_sketch", r)["m"] == F.try_element_at("sketch", r)["m"])
-    sketched = sketched.withColumn("shared", both).withColumn("conflicts", F.exists("shared", lambda r: F.try_element_at("old_sketch", r)["v"] != F.try_element_at("sketch", r)["v"])).filter(~F.col("conflicts"))
-    weight = 1 + name_similarity(F.col("name"), F.col("old_name")) + F.when(F.col("type") == F.col("old_type"), 0.5).otherwise(0.0) + F.size("shared") / F.lit(4 * REGISTERS)
+    bases = profiles.filter(F.col("name").isNull()).select("file", F.col("sketch").alias("base"))
+    slim = profiles.filter(F.col("type").isNotNull() & F.col("name").isNotNull() & F.col("sketch").isNotNull()).join(bases, "file").select("file", "name", filled("sketch", "base").alias("sketch"), "type")
+    sketched = edges.join(slim, ["file", "name"]).join(slim.select(F.col("file").alias("previous"), F.col("name").alias("old_name"), F.col("sketch").alias("old_sketch"), F.col("type").alias("old_type")), ["previous", "old_name"])
+    alike = lambda a, b: F.coalesce(_member(a) == _member(b), F.lit(False))
+    shared = F.size(F.filter(F.zip_with("sketch", "old_sketch", alike), lambda x: x))
+    sketched = sketched.withColumn("shared", shared).filter(~F.exists(F.zip_with("sketch", "old_sketch", lambda a, b: alike(a, b) & (a != b)), lambda x: x))
+    weight = 1 + name_similarity(F.col("name"), F.col("old_name")) + F.when(F.col("type") == F.col("old_type"), 0.5).otherwise(0.0) + F.col("shared") / F.lit(4 * REGISTERS)
     candidates = cut(sketched.select("file", "previous", "name", "old_name", weight.alias("weight"), F.monotonically_increasing_id().alias("edge")), told={"n": F.count(F.lit(1))})
     # only the columns with candidates are read again, each value tagged with its edges by number and side; each side of an edge is some 16 bytes
     sides = candidates.select("file", "name", F.lit(True).alias("is_new"), "edge").unionByName(candidates.select(F.col("previous").alias("file"), F.col("old_name").alias("name"), F.lit(False).alias("is_new"), "edge"))
     asked = sides.join(columns, ["file", "name"]).groupBy("file").agg(F.collect_list(F.struct("position", "is_new", "edge")).alias("fields"))
-    tagged = lookup_join(_cells(lines), asked, ["file"], max_rows=0 if told(candidates, "n") > EDGES else 200_000)
-    sent = tagged.select("member", "cells", F.explode("fields").alias("f")).select("member", "f.is_new", "f.edge", _value(F.col("f.position")).alias("value"))
+    # beyond EDGES the lines are moved once, unparsed, those of files with very many lines apart
+    tagged = lines.join(F.broadcast(asked), "file") if told(candidates, "n") <= EDGES else skew_join(lines, asked, "file", how="inner")
+    sent = _cells(tagged, "fields").select("member", "cells", F.explode("fields").alias("f")).select("member", "f.is_new", "f.edge", _value(F.col("f.position")).alias("value"))
     new, old = F.when(F.col("is_new"), F.col("value")), F.when(~F.col("is_new"), F.col("value"))
     per_member = sent.groupBy("edge", "member").agg(F.min(new).alias("n0"), F.max(new).alias("n1"), F.min(old).alias("o0"), F.max(old).alias("o1")).filter(F.col("n0").isNotNull() & F.col("o0").isNotNull())
     same = (F.col("n0") == F.col("n1")) & (F.col("o0") == F.col("o1")) & (F.col("n0") == F.col("o0"))
@@ -186,12 +209,13 @@ def find_drift(files: DataFrame, lines: DataFrame) -> Drift:
     lines count once; several values of one member must all be equal for a rename.
     """
     cells = headers(files)
-    columns = cut(own_columns(cells).join(files.select("file", "series"), "file"))
+    columns = cut(own_columns(cells).join(files.select("file", "series"), "file"), told={"last": F.max("position")})
     w = Window.partitionBy("series").orderBy("ordering", "file")
     steps = cut(files.select("file", F.lag("file").over(w).alias("previous")))
-    values = long_values(lines, columns)
-    profiles = cut(profile(values))
-    matches = cut(match_columns(columns, steps, profiles, lines))
+    edges = cut(possible_edges(columns, steps))
+    sketched = cut(profile_columns(lines, columns, edges, told(columns, "last")))
+    profiles = sketched.filter(F.col("name").isNotNull()).select("file", "name", "type")
+    matches = cut(match_columns(columns, edges, sketched, lines))
     pairs = steps.filter(F.col("previous").isNotNull())
     new = pairs.join(columns.select("file", "name"), "file")
     old = pairs.join(columns.select(F.col("file").alias("previous"), "name"), "previous")
@@ -208,7 +232,7 @@ def find_drift(files: DataFrame, lines: DataFrame) -> Drift:
     retyped = same.join(typed, ["file", "name"]).join(typed.select(F.col("file").alias("previous"), F.col("name").alias("before"), F.col("type").alias("old_type")), ["previous", "before"]).filter(F.col("type") != F.col("old_type"))
     retyped = retyped.select("file", F.lit("retyped").alias("change_kind"), F.col("name").alias("field_name"), F.lit("").alias("old_name"))
     changes = repaired(cells).select(out).unionByName(renamed.select(out)).unionByName(added).unionByName(removed).unionByName(retyped)
-    return Drift(columns, steps, values, matches, profiles, changes)
+    return Drift(columns, steps, matches, profiles, changes)
 
 
 def lineage(drift: Drift) -> DataFrame:
@@ -243,8 +267,9 @@ def unified_rows(lines: DataFrame, named: DataFrame) -> DataFrame:
     """
     fields = named.groupBy("file").agg(F.collect_list(F.struct("position", "field")).alias("fields"))
     chars = named.agg(F.coalesce(F.sum(F.length("field") + 16), F.lit(0)).alias("n")).first()["n"]
-    cells = lines.filter(F.col("line").isNotNull() & (_strip(F.col("line")) != "")).select("file", "line_no", F.split("line", "\t").alias("cells"))
-    joined = lookup_join(cells, fields, ["file"], how="left", max_rows=0 if chars > HEADER_CHARS else 200_000)
+    lines = lines.select("file", "line_no", "line")
+    joined = lines.join(F.broadcast(fields), "file", "left") if chars <= HEADER_CHARS else skew_join(lines, fields, "file", how="left")
+    joined = joined.filter(F.col("line").isNotNull() & (_strip(F.col("line")) != "")).select("file", "line_no", "fields", F.split("line", "\t").alias("cells"))
     value = lambda i: _strip(F.coalesce(F.get("cells", i), F.lit("")))
     pairs = F.transform(F.coalesce("fields", F.array().cast("array<struct<position:int,field:string>>")), lambda f: F.struct(f["field"], value(f["position"])))
     return joined.select("file", "line_no", *[value(F.lit(i)).alias(n) for i, n in enumerate(STANDARD)], F.map_from_entries(pairs).alias("fields"))

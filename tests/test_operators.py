@@ -249,6 +249,37 @@ def test_drift_names_meet_again(spark):
     assert fields == {1: {"x#1": "1", "x#3": "7"}, 2: {"x#3": "7"}, 3: {"x#3": "7"}}
 
 
+def test_drift_of_many_files(spark, monkeypatch):
+    monkeypatch.setattr(schema_drift, "HEADER_CHARS", 0)
+    monkeypatch.setattr(schema_drift, "EDGES", -1)
+    test_drift(spark)
+    test_drift_names_meet_again(spark)
+    cells = {f"m{i}": "" if i % 3 else str(i) for i in range(60)}  # as many registers as there are, some with a short line as the least member's
+    lines = [(1, i, line(m, *([c] if c else []))) for i, (m, c) in enumerate(cells.items())] + [(2, i, line(m, c)) for i, (m, c) in enumerate(cells.items())]
+    drift, _ = drift_of(spark, [(1, 5, 1, [*STD, "old"]), (2, 5, 2, [*STD, "new"])], lines)
+    assert rows(drift.changes, "file", "change_kind", "field_name", "old_name") == [(2, "renamed", "new", "old")]
+
+
+def test_drift_moves_no_lines(spark, monkeypatch):
+    """Columns are profiled where their lines lie: beyond the broadcast only one row per column is shuffled."""
+    def written():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        each = [found.next() for _ in iter(found.hasNext, False)]
+        return {f.getName(): f.length() for f in each if f.getName().startswith("shuffle_")}
+
+    monkeypatch.setattr(schema_drift, "HEADER_CHARS", 0)
+    lines = [(f, i, line(f"{f * i * 2654435761:x}", *(f"{f * i * p:x}" for p in (40503, 69069, 1664525)))) for f in range(1, 5) for i in range(5000)]
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        drift, _ = drift_of(spark, [(f, f, 1, [*STD, "a", "b", "c"]) for f in range(1, 5)], lines)
+        assert drift.changes.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = sum(n for name, n in written().items() if name not in before)
+    assert 0 < moved < sum(len(x[2]) for x in lines) / 10
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.tuples(st.sampled_from("abcd"), st.sampled_from("wxyz")), st.integers(1, 9), min_size=1))
 def test_assignment_is_the_heaviest(weights):
