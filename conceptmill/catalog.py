@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import cut, drop
 
 # Identifiers of the release format
 IS_A, INFERRED, SOME_MODIFIER = 116680003, 900000000000011006, 900000000000451002
@@ -82,6 +82,7 @@ def build_closure(isa: DataFrame) -> DataFrame:
         if not longer.limit(1).count():
             return pairs
         pairs = cut(pairs.unionByName(longer).groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")), instead_of=pairs)
+        drop(longer)
         step *= 2
 
 

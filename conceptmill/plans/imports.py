@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from .. import catalog as fixed
 from ..catalog import Catalog
 from ..engine import Engine
-from ..session import run_folder
-from ..sources.release_files import DESCRIPTORS, write_release
+from ..session import drop, run_folder
+from ..sources.release_files import DESCRIPTORS, ReleaseArchive
 from ..sources.snapshot import MODULE_DEPENDENCY, import_snapshot
-from ..sources.star import SCHEME, cid, star_catalog
+from ..sources.star import SCHEME, Star, cid
 from . import expressions
 
 DATE = 20991231
@@ -29,10 +29,11 @@ def imported(spark: SparkSession, d: str) -> Catalog:
     """The directory's terminology, written as release files and imported, once per application."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _imported:
-        star = star_catalog(spark, d)
-        folder = f"{run_folder(spark)}/release-{uuid.uuid4().hex}"
-        write_release(star, folder, DATE, cid(32, 3), [cid(10, SCHEME)])
-        _imported[key] = import_snapshot(spark, folder, config=star.config)
+        star = Star(spark, d).catalog(stored=False)
+        release = ReleaseArchive(star, f"{run_folder(spark)}/release-{uuid.uuid4().hex}", DATE, cid(32, 3), [cid(10, SCHEME)])
+        _imported[key] = import_snapshot(spark, release, config=star.config)
+        for table in (star.isa, star.concept):
+            drop(table)
     return _imported[key]
 
 

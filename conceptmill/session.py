@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from functools import reduce
@@ -71,26 +72,38 @@ def run_folder(spark: SparkSession) -> str:
     return _runs[app]
 
 
-def cut(df: DataFrame, instead_of: DataFrame | None = None, told: dict[str, Column] | None = None) -> DataFrame:
+def cut(df: DataFrame, instead_of: DataFrame | None = None, told: dict[str, Column] | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it from there.
 
     This cuts the lineage like a checkpoint, survives lost executors, and gives the planner
     true sizes: a checkpoint keeps size estimates that square with every self-join of a loop.
     ``instead_of`` is an earlier cut that nothing reads any more; its files are deleted. The
     rest goes when the interpreter ends. Aggregates in ``told`` are worked out while the table is
-    written, without a further job; :func:`told` has them.
+    written, without a further job; :func:`told` has them. ``compression`` is by default the session's.
     """
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     seen = Observation() if told else None
-    (df.observe(seen, *[c.alias(n) for n, c in told.items()]) if told else df).write.parquet(path)
+    (df.observe(seen, *[c.alias(n) for n, c in told.items()]) if told else df).write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path, out._told = path, seen.get if told else {}
-    if instead_of is not None and getattr(instead_of, "_cut_path", None):
-        _delete(spark, instead_of._cut_path)
+    if instead_of is not None:
+        drop(instead_of)
     return out
 
 
+def drop(table: DataFrame) -> None:
+    """Delete the files of a :func:`cut` that nothing reads any more."""
+    if getattr(table, "_cut_path", None):
+        _delete(table.sparkSession, table._cut_path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Have the shuffle files of ended jobs deleted now: Spark does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def told(table: DataFrame, name: str) -> int:
     """What :func:`cut` worked out while it wrote the table; 0 for a sum over no rows."""
     return table._told.get(name) or 0

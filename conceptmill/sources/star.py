@@ -180,11 +180,12 @@ class Star:
     def identifier(self) -> DataFrame:
         return self.t("customer").select(F.lit(cid(10, SCHEME)).cast("bigint").alias("scheme"), F.col("c_name").alias("code"), col_id(13, F.col("c_custkey")).alias("component"), F.lit(cid(32, 3)).cast("bigint").alias("module_id"), F.lit(None).cast("int").alias("effective_time"), F.lit(True).alias("active"))
 
-    def catalog(self) -> Catalog:
+    def catalog(self, stored: bool = True) -> Catalog:
+        """``stored`` tables are written once, for many readers; else only those are that others are made of."""
         sources = {n: getattr(self, n) for n in ("member", "member_schema", "refset_domain", "association", "identifier")}
-        sources |= {"isa": self.isa_table, "concept": lambda: cut(self.concept()), "description": lambda: cut(self.description())}
+        sources |= {"isa": self.isa_table, "concept": lambda: cut(self.concept()), "description": lambda: cut(self.description()) if stored else self.description()}
         # written once, as an index would be: row groups in type order let scans skip other attributes
-        sources |= {n: (lambda n=n: cut(getattr(self, n)().sortWithinPartitions("type"))) for n in ("relationship", "concrete")}
+        sources |= {n: (lambda n=n: cut(getattr(self, n)().sortWithinPartitions("type")) if stored else getattr(self, n)()) for n in ("relationship", "concrete")}
         return Catalog(self.spark, sources, Config(schemes={"demo": cid(10, SCHEME)}), {"edition": "star"})
 
 

@@ -223,3 +223,41 @@ def test_supplement(spark, imported, tmp_path):
     ]:
         with pytest.raises(snapshot.ImportFailure, match=message):
             snapshot.import_snapshot(spark, supplement(tmp_path / "y.zip", **change), expected_date=20260701, base=base)
+
+
+def test_release_is_written_by_many_tasks_and_leaves_no_files(spark, tmp_path):
+    from conceptmill.plans.imports import DATE as RELEASED
+    from conceptmill.sources import release_files, star
+
+    made = star.Star(spark, "/root/testdata/sf0.001").catalog(stored=False)
+    assert not hasattr(made.concrete, "_cut_path")
+    archive = release_files.ReleaseArchive(made, str(tmp_path / "release"), RELEASED, star.cid(32, 3), [star.cid(10, star.SCHEME)])
+    name = next(n for n in archive.files if "ConcreteValues" in n)
+    assert archive.first_line(name).split("\t") == snapshot.COLUMNS["sct2_RelationshipConcreteValues_"].split()
+    assert len([p for p in (tmp_path / "release" / name).iterdir() if p.name.endswith(".gz")]) > 1
+    rows = archive.core("sct2_RelationshipConcreteValues_", name)
+    assert rows.count() == made.concrete.count() and snapshot.grow_apart(rows.select(rows.id.cast("long")))
+    archive.stored([name])
+    assert not (tmp_path / "release" / name).exists()
+
+
+def test_ids_that_stand_twice(spark, tmp_path):
+    ids = lambda *parts: spark.sparkContext.parallelize([(i,) for p in parts for i in p], len(parts)).toDF("id long")
+    assert snapshot.grow_apart(ids([4, 5, 6], [1, 2, 3]))
+    assert not snapshot.grow_apart(ids([1, 2, 3], [3, 4, 5])) and not snapshot.grow_apart(ids([1, 5, 9], [2, 3, 4]))
+    assert not snapshot.grow_apart(ids([1, 2, 2], [7, 8, 9])) and not snapshot.grow_apart(ids([*range(0, -600, -1)], [1] * 600))
+    name = "sct2_RelationshipConcreteValues_Snapshot"
+    with pytest.raises(snapshot.ImportFailure, match="a relationship id is used twice: 200"):
+        snapshot.import_snapshot(spark, archive(tmp_path / "r.zip", **{name: files()[name].replace("300\t", "200\t", 1)}))
+    with pytest.raises(snapshot.ImportFailure, match="a member id is used twice: 00000003-"):
+        snapshot.import_snapshot(spark, archive(tmp_path / "u.zip", der2_Refset_SimpleSnapshot=files()["der2_Refset_SimpleSnapshot"].replace("00000002-", "00000003-")))
+
+
+def test_decimals_lose_their_zeros_as_by_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from conceptmill.functions import decimals
+
+    texts = ["0", "-0", "0.0", "-0.00", "10", "100.00", "17.50", "007.10", "+1.0", "-0.10", "5.", "1.2.30", "x0", "", "-", ".50", "12\n", "1.0\n", "0.000000000000000000010"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", decimals.canonical_column(F.col("t")).alias("a"), decimals._by_patterns(F.col("t")).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
